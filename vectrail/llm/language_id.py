@@ -235,7 +235,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return append_arrow(docs, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
 
 
-def keep_known(docs: DataFrame, model: Model, text: str = "text", least: float = 0.4) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of at least ``least``; the columns of ``docs``."""
     scored = predict(docs.withColumn("__text", F.col(text)), model, "__text")
     keep: Column = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
