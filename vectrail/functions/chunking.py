@@ -118,7 +118,7 @@ class Semantic:
         rows = docs.select(*rest, F.posexplode(X.sentences(F.col(text))).alias("pos", "sentence"))
         rows = self.embedder.embed(rows, "sentence", [*rest, "pos"], "vec")
         order = Window.partitionBy(key).orderBy("pos")
-        close = V.cosine(F.lag("vec").over(order), F.col("vec"))
+        close = F.round(V.cosine(F.lag("vec").over(order), F.col("vec")), 9)  # equal on every engine
         rows = rows.withColumn("near", close).withColumn("first", F.when(F.col("near").isNull() | (F.col("near") >= self.threshold), 0).otherwise(1))
         rows = rows.withColumn("chunk_index", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
         parts = F.array_sort(F.collect_list(F.struct("pos", "sentence")))

@@ -9,12 +9,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from . import vectors as V
 
 
 class Embedder(Protocol):
@@ -25,29 +26,46 @@ class Embedder(Protocol):
 
 
 class FeatureHash:
-    """Signed feature hashing of clean words, in built-in functions within the row: no shuffle, no Python.
+    """Signed feature hashing of clean words.
 
     A word adds 1 or -1 to the dimension that its MD5 names; sums are scaled to unit length. Texts without
-    words get the zero vector, and the order of words doesn't matter.
+    words get the zero vector, and the order of words doesn't matter. Words are split and cleaned by built-in
+    functions; the sums are made in Arrow batches, where a batch's distinct words are hashed once, because a
+    fold of arrays in the plan costs words x dimensions interpreted steps.
     """
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
 
-    def column(self, text):
-        words = F.filter(F.transform(X.tokens(F.coalesce(text, F.lit(""))), X.clean_word), lambda w: w != "")
-        digests = F.transform(words, lambda w: F.md5(w.cast("binary")))
-        place = lambda d: (F.conv(F.substring(d, 1, 8), 16, 10).cast("long") % self.dimension).cast("int")
-        sign = lambda d: F.when(F.conv(F.substring(d, 9, 1), 16, 10).cast("int") % 2 == 1, -1.0).otherwise(1.0)
-        signed = F.transform(digests, lambda d: F.struct(place(d).alias("i"), sign(d).alias("s")))
-        zero = F.array_repeat(F.lit(0.0), self.dimension)
-        add = lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x["i"], v + x["s"]).otherwise(v))
-        return F.aggregate(signed, zero, add)
-
     def embed(self, rows: DataFrame, text: str, keys: list[str], out: str = "embedding") -> DataFrame:
-        """Sums by (row, dimension) would need a shuffle; a fold over the words stays within the row."""
-        summed = rows.withColumn(out, self.column(F.col(text)))
-        return summed.select(*keys, text, V.normalised(F.col(out)).alias(out))
+        words = F.filter(F.transform(X.tokens(F.coalesce(F.col(text), F.lit(""))), X.clean_word), lambda w: w != "")
+        chosen = rows.select(*keys, text, words.alias("__words"))
+        dimension, names = self.dimension, [*keys, text, out]
+
+        def run(batches):
+            for b in batches:
+                lists = b.column(b.num_columns - 1)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], signed_sums(lists, dimension)], names=names)
+
+        fields = [*chosen.schema.fields[:-1], T.StructField(out, T.ArrayType(T.DoubleType()))]
+        return chosen.mapInArrow(run, T.StructType(fields))
+
+
+def signed_sums(lists: pa.ListArray, dimension: int) -> pa.ListArray:
+    """A unit vector for each list of words."""
+    coded = pc.dictionary_encode(lists.flatten())
+    digests = [hashlib.md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+    place = np.array([int(d[:8], 16) % dimension for d in digests], dtype=np.int64)
+    sign = np.array([-1.0 if int(d[8], 16) % 2 else 1.0 for d in digests])  # odd digits take away
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), lengths)
+    total = np.zeros((len(lists), dimension))
+    if len(code):
+        np.add.at(total, (row, place[code]), sign[code])
+    n = np.sqrt((total * total).sum(1, keepdims=True))
+    total = total / np.where(n > 0, n, 1.0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dimension, pa.int32()), pa.array(total.ravel()))
 
 
 def gaussian_word(word: str, dimension: int) -> np.ndarray:
