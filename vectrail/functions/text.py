@@ -39,7 +39,7 @@ def keyword_score(text: Column, words: list[str]) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after . ? ! and white space; stripped, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+"), lambda s: F.btrim(s, F.lit(" \t\n\r\x0b\f"))), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+"), lambda s: F.trim(s, F.lit(" \t\n\r\x0b\f"))), lambda s: s != "")
 
 
 def clean_word(word: Column) -> Column:

@@ -24,7 +24,7 @@ class Ingested:
 
 def new_documents(docs: DataFrame, collection: Collection, existing: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document for each new content of the collection, that of the smallest key; empty texts are refused."""
-    rows = docs.where(F.col(text).isNotNull() & (F.btrim(text) != "")).withColumn("content_hash", content_hash(F.col(text)))
+    rows = docs.where(F.col(text).rlike(r"\S")).withColumn("content_hash", content_hash(F.col(text)))
     first = rows.groupBy("content_hash").agg(F.min(key).alias("__first"))
     rows = rows.join(first, "content_hash").where(F.col(key) == F.col("__first")).drop("__first").dropDuplicates(["content_hash"])
     if existing is not None:
@@ -46,18 +46,18 @@ def ingest(docs: DataFrame, collection: Collection, existing: DataFrame | None =
     chunks = pieces.select(derived_id(F.col("document_id"), F.col("chunk_index")).alias("id"), "document_id", F.col("chunk").alias("text_content"), "chunk_index", token_count(F.col("chunk")).alias("token_count"), "source_key")
     vectors = embedder.embed(chunks.withColumnRenamed("id", "chunk_id"), "text_content", ["chunk_id", "source_key", "chunk_index"], "vector_data").drop("text_content")
     # The order of ingestion: by document, then by chunk.
-    placed = _places(vectors, start)
+    placed = _places(vectors, chunks, start)
     placed = placed.withColumn("segment_id", F.floor(F.col("ordinal") / collection.segment_capacity).cast("long")).withColumn("vector_idx", (F.col("ordinal") % collection.segment_capacity).cast("long"))
     embeddings = placed.select(derived_id(F.col("chunk_id"), F.lit("v")).alias("id"), "chunk_id", "segment_id", "vector_idx", "vector_data", F.lit(ACTIVE).alias("status"))
     audit = documents.select(derived_id(F.col("id"), F.lit("ingest")).alias("id"), F.lit("INGEST_DOCUMENT").alias("action"), F.col("id").alias("target_id"), F.to_json(F.struct("content_hash")).alias("details"))
     return Ingested(documents, chunks, embeddings, audit)
 
 
-def _places(vectors: DataFrame, start: int) -> DataFrame:
+def _places(vectors: DataFrame, chunks: DataFrame, start: int) -> DataFrame:
     """An ordinal for each chunk: documents' chunk counts are added up, and a chunk follows within its document."""
     from pyspark.sql import Window
 
-    counts = vectors.groupBy("source_key").agg(F.count("*").alias("__n"))
+    counts = chunks.groupBy("source_key").agg(F.count("*").alias("__n"))
     numbered = ordinals(counts, "source_key", "__doc")
     # Prefix sums by blocks of documents: the sums of whole blocks are few rows.
     block = F.floor(F.col("__doc") / 100_000)

@@ -14,7 +14,7 @@ def _table(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v, k != "id") for k, v in columns.items()])
 
 
-VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
+VECTOR = T.ArrayType(T.FloatType())
 USERS = _table(id=_S, username=_S, hashed_password=_S, role=_S, is_active=_B, created_at=_TS)
 COLLECTIONS = _table(id=_S, name=_S, namespace=_S, dimension=_I, metric=_S, created_by=_S, created_at=_TS)
 DOCUMENTS = _table(id=_S, collection_id=_S, title=_S, content_hash=_S, status=_S, created_at=_TS, updated_at=_TS)

@@ -19,6 +19,7 @@ def _as(df: DataFrame, table: str) -> DataFrame:
 
 def write_batch(store: Store, docs: DataFrame, collection: Collection, **options) -> None:
     """One batch: documents that the store has are skipped, so a repeated batch adds nothing."""
+    docs = store.staged(docs, "incoming")  # the tables below are made from one written copy of the batch
     existing = store.read("documents")
     start = store.read("embeddings").count()
     new = ingest(docs, collection, existing, start=start, **options)
