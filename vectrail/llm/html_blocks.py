@@ -11,6 +11,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("script style noscript template svg math iframe object textarea select button title canvas audio video datalist head".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img input".split())
+#: Elements that don't end a block: text before and after them runs on.
+FLOWS = INLINE | UNSEEN - {"head", "title"}
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody"),
@@ -80,7 +82,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            if tag not in INLINE:
+            if tag not in FLOWS:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -91,7 +93,7 @@ def blocks(page: str | None) -> list[Block]:
             if tag == "br":
                 parts.append((" ", False))
             continue
-        if tag not in INLINE:
+        if tag not in FLOWS:
             flush()
         elif tag in ("br", "img", "input"):
             parts.append((" ", False))

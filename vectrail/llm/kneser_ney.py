@@ -286,7 +286,7 @@ class Mapped:
         x = self.word_stats(names)
         t = self.m.totals
         before = np.where(names == BEGIN, 0, x["before"])
-        p1 = self.unknown + ((before - self.e[np.minimum(before, 3)]) / t["before"] if t["before"] else 0.0)
+        p1 = self.unknown + (before - self.e[np.minimum(before, 3)]) / max(t["before"], 1)
         n = x["tokens"]
         spare = np.where(n > 0, (self.d[1] * x["f1"] + self.d[2] * x["f2"] + self.d[3] * x["f3up"]) / np.maximum(n, 1), 1.0)
         spare[names == END] = 1.0  # the end has no followers
