@@ -40,7 +40,7 @@ def _keyed(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     """(id, row, pos, h1, h2): a 128-bit hash of each line long enough to matter."""
     rows = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= min_chars))
     rows = rows.select(F.col(key).alias("id"), _row(key, text).alias("row"), F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
-    rows = rows.where(F.octet_length("line") >= min_chars).withColumn("line", F.btrim("line", F.lit(SPACE)))
+    rows = rows.where(F.octet_length("line") >= min_chars).withColumn("line", F.trim("line", F.lit(SPACE)))
     rows = rows.where(F.char_length("line") >= min_chars).withColumn("line", ascii_lower(F.col("line")))
     return rows.select("id", "row", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line", F.lit(11)).alias("h2"))
 

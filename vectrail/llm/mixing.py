@@ -80,8 +80,8 @@ def leaf_budgets(rows: DataFrame, t: Targets) -> DataFrame:
     leaves = cut(leaves.withColumn("capacity", F.col("tokens").cast("double") * t.max_epochs), "leaves")
     langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"))
     domains = langs.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(t.budget)).cast("double").alias("parent_budget"))
-    top = _share(domains.crossJoin(F.broadcast(total)).withColumn("weight", _weight(F.col("domain"), t.domains)), [])
+    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(t.budget)).cast("double")).first()[0]  # one number
+    top = _share(domains.withColumn("parent_budget", F.lit(total)).withColumn("weight", _weight(F.col("domain"), t.domains)), [])
     mid = _share(langs.join(top.select("domain", F.col("budget").alias("parent_budget")), "domain").withColumn("weight", _weight(F.col("lang"), t.languages)), ["domain"])
     low = leaves.join(mid.select("domain", "lang", F.col("budget").alias("parent_budget")), ["domain", "lang"]).withColumn("weight", _weight(F.col("source"), t.sources))
     low = _share(low, ["domain", "lang"])

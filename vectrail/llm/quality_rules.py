@@ -67,7 +67,7 @@ def measured(docs: DataFrame, text: str = "text", settings: Settings | None = No
     s = settings or Settings()
     t = F.coalesce(F.col(text), F.lit(""))
     k = s.window
-    df = docs.withColumn("__w", F.filter(F.split(F.btrim(t, F.lit(SPACE)), rf"{SPACE_CLASS}+"), lambda w: w != ""))
+    df = docs.withColumn("__w", F.filter(F.split(F.trim(t, F.lit(SPACE)), rf"{SPACE_CLASS}+"), lambda w: w != ""))
     df = df.withColumn("__lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     # Window i: words i .. i+k-1, by the shifted lists beside each other.
     n = F.size("__w")
@@ -161,10 +161,9 @@ def thresholds(rows: DataFrame, labels: DataFrame, settings: Settings | None = N
         F.sum("bad").over(upto).alias("bad_k"), F.sum("bad").over(group).alias("n_bad"),
         F.get(F.try_element_at(grids, F.col("measure")), F.col("place")).alias("cutoff"),
     ).where(F.col("cutoff").isNotNull())
-    strata = rows.agg(F.count_distinct("stratum").alias("strata"))
-    table = table.crossJoin(F.broadcast(strata))  # one row
+    strata = rows.agg(F.count_distinct("stratum")).first()[0]  # one number
     p = binomial_tail(F.col("n_good"), F.col("k"), s.stratum_risk / len(s.grid))
-    certified = p <= F.lit(s.delta) / (F.col("strata") * len(s.grid))
+    certified = p <= F.lit(s.delta / max(1, strata * len(s.grid)))
     useful = (F.col("n_bad") > 0) & (F.col("bad_k") * F.col("n_good") >= F.lit(s.lift) * F.col("k") * F.col("n_bad")) & (F.col("bad_k") > 0)
     table = table.withColumn("ok", certified).withColumn("in_row", F.min("ok").over(upto)).where(F.col("in_row") & useful)
     return table.groupBy("stratum", "measure").agg(F.min("cutoff").alias("cutoff"), F.max_by("n_good", "place").alias("n_good"), F.max_by("k", "place").alias("k"))
