@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectrail.functions import embedders
-from vectrail.operators import exact, filters, hnsw, hybrid, ingest, segments
+from vectrail.operators import cache, exact, filters, hnsw, hybrid, ingest, segments
 from vectrail.schemas import Collection, Metric
 
 
@@ -133,3 +133,36 @@ def test_ingest(spark):
     assert ingest.ingest(docs, c, existing=got.documents, chunker=Fixed(2)).documents.count() == 0
     with pytest.raises(ValueError):
         ingest.ingest(docs, c, embedder=embedders.FeatureHash(9))
+
+
+def test_cache(spark, data):
+    rows = segments.assign(vectors(spark, data[:30]), "vec_id", 10)
+    c = cache.SegmentCache.of(rows, max_bytes=2 * 10 * 64 * 4 + 100)
+    assert c.row(0, 3)["vec_id"] == 3 and c.row(1, 0)["vec_id"] == 10 and (c.hits, c.misses, c.hit_ratio) == (0, 2, 0.0)
+    c.row(0, 1)
+    c.segment(2)  # segment 1 was used least recently
+    assert 0 in c and 1 not in c and 2 in c and c.hit_ratio == 0.25
+    with pytest.raises(IndexError):
+        c.row(0, 10)
+    c.clear()
+    assert 0 not in c and c.bytes == 0 and c.hit_ratio == 0.0
+
+
+def test_tables(spark):
+    from vectrail import schemas
+
+    for t in schemas.TABLES:
+        spark.sql(schemas.ddl(t))
+        assert spark.table(t).columns == schemas.TABLES[t].fieldNames()
+        spark.sql(f"DROP TABLE {t}")
+    with pytest.raises(ValueError):
+        Collection("c", 3).check([1.0])
+
+
+def test_delete_and_soft_delete(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 1)], "vec_id long, status int")
+    gone = spark.createDataFrame([(2,), (2,), (9,)], "vec_id long")
+    assert {(r["vec_id"], r["status"]) for r in segments.mark_deleted(rows, gone, "vec_id").collect()} == {(1, 1), (2, 2)}
+    every = {"documents": spark.createDataFrame([("a",), ("b",)], "id string"), "chunks": spark.createDataFrame([("a0", "a"), ("b0", "b")], "id string, document_id string"), "embeddings": spark.createDataFrame([("a0",), ("b0",)], "chunk_id string"), "metadata": spark.createDataFrame([("a", "a0"), ("b", "b0")], "document_id string, chunk_id string")}
+    left = segments.delete_cascade(every, every["documents"].where("id = 'a'"))
+    assert all(df.count() == 1 for df in left.values())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import chunking, embedders
 from .functions import text as X
 from .functions import vectors as V
-from .operators import exact, filters, hnsw, hybrid, ingest, segments
+from .operators import cache, exact, filters, hnsw, hybrid, ingest, segments
 from .plans import cost, stats
 from .schemas import Collection, Metric
 from .session import ship
@@ -263,6 +263,11 @@ def append_union(spark, sf_dir):
     return p.where(F.col("segment_id") < 2).unionByName(p.where(F.col("segment_id") == 2).withColumn("vec_id", F.col("vec_id") + 1_000_000))
 
 
+@query(f"WITH {_P} SELECT segment_id, count(*) AS records, (count(*) * 64 * 4 + sum(length(label::VARCHAR)))::BIGINT AS bytes FROM p GROUP BY segment_id")
+def segment_memory(spark, sf_dir):
+    return cache.memory(placed(spark, sf_dir).withColumn("payload", F.col("label").cast("string")), payload="payload")
+
+
 # --- metadata filters -------------------------------------------------------------------------------------
 
 

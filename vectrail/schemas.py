@@ -66,3 +66,14 @@ class Collection:
     def __post_init__(self):
         if self.dimension <= 0 or self.segment_capacity <= 0:
             raise ValueError("dimension and segment capacity must be positive")
+
+    def check(self, vector) -> None:
+        """Refuse a query vector of another length."""
+        if len(vector) != self.dimension:
+            raise ValueError(f"the collection {self.name!r} has {self.dimension} dimensions, not {len(vector)}")
+
+
+def ddl(table: str) -> str:
+    """CREATE TABLE for one of the engine's tables; DROP TABLE undoes it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in TABLES[table].fields)
+    return f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,6 +21,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="vectrail-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = os.path.join(folder, "vectrail_package.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
