@@ -146,7 +146,7 @@ def test_quality_knn(spark):
     rows = [(i, good() if i % 4 else bad(), int(i % 4 > 0)) for i in range(800)]
     df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (None, "abc def"), (902, "z" * 300_000)], SCHEMA).withColumn("predicted", F.lit("x"))
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 3] + [(5, None)], "doc_id long, quality int")
-    model = quality_knn.fit(df, df.join(labels, "doc_id"))
+    model = quality_knn.fit(df, labels)
     got = {x["doc_id"]: x for x in quality_knn.score(df, model).collect()}
     assert np.mean([got[i]["predicted"] == y for i, _, y in rows if i % 3 == 0]) > 0.97
     assert all(0 <= x["score"] <= 1 for x in got.values()) and len(got) == 804
@@ -157,7 +157,7 @@ def test_quality_knn(spark):
         near = sorted(range(len(c)), key=lambda i: (-round(c[i], 9), i))[: model.settings.neighbours]
         w = np.maximum(c[near], 1e-6) ** model.settings.power
         assert s == pytest.approx((w * model.labels[near]).sum() / w.sum())
-    none = quality_knn.fit(df, df.join(labels.limit(0), "doc_id"))
+    none = quality_knn.fit(df, labels.limit(0))
     assert {x["score"] for x in quality_knn.score(df.limit(3), none).collect()} == {0.5}
 
 

@@ -9,7 +9,7 @@ places of an item's seeds the document's words are aligned locally with the item
 alignment's share of a perfect match.
 
 The benchmark is sent to all workers if its text has at most ``BROADCAST_BYTES``; a larger one is taken in
-blocks of that size, one pass over the documents for each block. Documents are never shuffled.
+blocks of that size, two passes over the documents for each block (word frequencies, search). Documents are never shuffled.
 
 Cases: null or empty texts and items match nothing; an item of fewer words than a seed is one seed of all its
 words; equal items are reported each; equal rows of documents are reported each; ties between windows of one
@@ -19,6 +19,7 @@ document take the first; a null id is reported with its null.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -205,17 +206,17 @@ def _frequencies(docs: DataFrame, text: str, vocabulary: set[str]) -> dict[str,
     return {names[i]: n / total for i, n in found.items()}
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size."""
-    out, size = [[]], 0
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of bounded size, one at a time; at least one, which may be empty."""
+    block, size = [], 0
     rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull()).orderBy("i", "t")
     for r in rows.toLocalIterator():
-        if size + len(r["t"]) > BROADCAST_BYTES and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r["i"], r["t"]))
+        if block and size + len(r["t"]) > BROADCAST_BYTES:
+            yield block
+            block, size = [], 0
+        block.append((r["i"], r["t"]))
         size += len(r["t"])
-    return out
+    yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings | None = None) -> DataFrame:

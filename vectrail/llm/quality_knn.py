@@ -141,13 +141,17 @@ def _document_frequencies(docs: DataFrame, text: str, s: Settings) -> np.ndarray
     return np.log((1 + n) / (1 + df)) + 1
 
 
-def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", settings: Settings | None = None) -> Model:
-    """``docs`` gives the document frequencies; ``labelled`` has the key, text and label of the rows that may be learned from."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", settings: Settings | None = None) -> Model:
+    """``docs`` gives the document frequencies; ``labels`` has the key and label of the rows that may be learned from.
+
+    The labels are sampled before their texts are looked up, so at most ``max_rows`` of them are broadcast.
+    """
     s = settings or Settings()
     idf = _document_frequencies(docs, text, s)
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), F.col(text).alias("t"), unit_hash(F.col(key).cast("string"), F.lit("knn")).alias("u"))
-    n = rows.count()
-    rows = rows.where(F.col("u") < min(1.0, 1.05 * s.max_rows / max(1, n)))
+    known = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("double").alias("y"), unit_hash(F.col(key).cast("string"), F.lit("knn")).alias("u"))
+    n = known.count()
+    known = known.where(F.col("u") < min(1.0, 1.05 * s.max_rows / max(1, n))).orderBy("u", "__key", "y").limit(s.max_rows)
+    rows = docs.join(F.broadcast(known), F.col(key) == F.col("__key")).select("y", F.col(text).alias("t"), "u")
 
     def make(batches):
         for b in batches:

@@ -70,8 +70,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality_knn.fit(docs, docs.where(~held_out).join(labels, "doc_id"))
+    model = quality_knn.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out))
     return quality_knn.score(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
