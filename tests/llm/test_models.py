@@ -26,7 +26,7 @@ def test_blocks():
     assert texts("a < b &lt; c <3 d") == ["a < b < c <3 d"] and texts("x<a href='>'>y</a>") == ["xy"]
     assert texts(None) == texts("") == texts("<p></p> ") == [] and texts("<p>cut <b") == ["cut"] and texts("<p>&copy; &#233;&nbsp;z &unknown;") == ["© é z &unknown;"]
     assert texts("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>") == ["a", "b", "c", "d"]
-    assert texts("<div hidden>no</div><div style='display:none'>no</div>yes<textarea>no</textarea>") == ["yes"]
+    assert texts("<div hidden>no</div><div style='display:none'>no</div>yes<textarea>no</textarea><p class='hidden x'>seen") == ["yes", "seen"]
     b = html_blocks.blocks('<div class="siteNav main-menu"><a href="x">go</a> on</div>')[0]
     assert b.path == ("div", ".site", ".nav", ".main", ".menu") and 0.3 < b.link < 0.6
     assert len(texts("<div>" * 3000 + "x")) == 1

@@ -25,7 +25,9 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
@@ -117,7 +119,7 @@ def blocks(page: str | None) -> list[Block]:
         attrs = m["attrs"]
         if attrs.endswith("/") and tag in UNSEEN:
             continue
-        hid = tag in UNSEEN or bool(attrs) and bool(_HIDDEN.search(attrs))
+        hid = tag in UNSEEN or bool(attrs) and ("none" in attrs and bool(_UNSHOWN.search(attrs)) or "hidden" in attrs.lower() and bool(_HIDDEN.search(_QUOTED.sub("", attrs))))
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
