@@ -7,9 +7,10 @@ throws for small sets and one round for large ones, and the share of agreeing co
 Chernoff-type bounds around the Jaccard similarity (Dahlgaard, Knudsen and Thorup, 2017).
 
 Documents that agree on a whole band are candidates; links are confirmed on the full shingle sets. Documents
-of one set are one class, and only class representatives take part. In a bucket, members are compared with
-its smallest document first; what stays apart is compared exhaustively, in blocks, unless the bucket already
-is one component. No list of pairs of a group is ever made.
+of one set are one class, and only class representatives take part. A document is compared with the smallest
+document of its buckets first, then with each bucket's smallest one where they are still apart. Buckets
+that then hold several components are compared exhaustively: members outside the largest component, in
+blocks, with all members. No list of pairs of a group is ever made.
 
 Cases: text with fewer words than a shingle is one shingle of all its words; without words (null, empty) a
 document is linked with nothing; rows of one id are one document, linked by any of its texts; a null id
@@ -32,8 +33,8 @@ from .components import components
 _U = np.uint64
 #: Band keys are computed from this many throws at a time.
 _THROWS = 1 << 13
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+#: Members of a bucket in a block, about, and bytes of their sets. A task compares two blocks.
+BLOCK, BLOCK_BYTES = 1024, 64 << 20
 
 
 def shingle_hashes(w_hash: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
@@ -136,95 +137,137 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _label(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """``rows`` with the component of each id, itself where it has no link."""
-    if comp is None:
-        return rows.withColumn("comp", F.col("id"))
-    return rows.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("comp"))
+def _labelled(rows: DataFrame, comp: DataFrame, column: str = "id", name: str = "comp") -> DataFrame:
+    """``rows`` with the component of the id in a column, itself where it has no link."""
+    own = comp.select(F.col("node").alias(column), F.col("component").alias("__c"))
+    return rows.join(own, column, "left").select(*rows.columns, F.coalesce("__c", column).alias(name))
 
 
-def _apart(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """(bucket, id, n, comp) of buckets of three members or more that hold several components.
+def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(bucket, id, comp, main, queries, blocks) of buckets of three members or more with several components.
 
-    Buckets with the same members (other bands of one group) are kept once.
+    ``main`` is the bucket's largest component. Its members needn't be compared with each other, so the
+    others are the bucket's queries. Buckets of the same members (other bands of one group) are kept once.
     """
-    rows = _label(members, comp)
-    stats = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(3))).alias("x2"))
-    open_ = stats.where((F.col("m") > 2) & (F.col("lo") < F.col("hi"))).groupBy("m", "x1", "x2").agg(F.min("bucket").alias("bucket"))
-    return rows.join(open_.select("bucket", "m"), "bucket")
+    rows = cut(_labelled(members, comp), "labelled")
+    marks = [F.count("*").alias("m"), F.sum("n").alias("items"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(3))).alias("x2")]
+    open_ = rows.groupBy("bucket").agg(*marks).where((F.col("m") > 2) & (F.col("lo") < F.col("hi")))
+    once = open_.groupBy("m", "items", "x1", "x2").agg(F.min("bucket").alias("bucket"))
+    rows = cut(rows.join(once, "bucket"), "apart")
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    heavy = F.ceil(F.col("items") * 8 / F.lit(BLOCK_BYTES)).cast("int")
+    out = rows.join(largest, "bucket").select("bucket", "id", "comp", "main", blocks(F.col("m") - F.col("c")).alias("kq"), F.greatest(blocks(F.col("m")), heavy).alias("km"))
+    return out
 
 
 def _exhaustive(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one bucket in different components, block against block.
+    """Links between each bucket's queries and all its members, block against block.
 
-    A bucket of m members is dealt into ceil(m / BLOCK) blocks, and each pair of blocks is one group: a task
-    holds at most two blocks. It gives a spanning forest of the links it finds.
+    A block has at most about BLOCK members or BLOCK_BYTES; a task holds two. It gives one link for each
+    query and component that it finds, however many members of it the query is linked with.
     """
-    k = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    blocks = apart.withColumn("k", k).withColumn("blk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
-    dealt = blocks.select("bucket", "id", "comp", "blk", other).select("bucket", "id", "comp", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-    full = dealt.join(sets, "id").select("bucket", "i", "j", "id", "comp", "blk", "items")
+    place = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    queries = apart.where(F.col("comp") != F.col("main")).select("bucket", "id", "comp", F.lit(True).alias("asks"), place(5, "kq").alias("i"), every("km").alias("j"))
+    members = apart.select("bucket", "id", "comp", F.lit(False).alias("asks"), place(7, "km").alias("j"), every("kq").alias("i")).select("bucket", "id", "comp", "asks", "i", "j")
+    full = queries.unionByName(members).join(sets, "id").select("bucket", "i", "j", "id", "comp", "asks", "items")
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, comps, items = t.column("id").to_pylist(), t.column("comp").to_pylist(), t.column("items").to_pylist()
-        order = sorted(range(len(ids)), key=lambda x: (len(items[x]), ids[x]))
-        parent = {c: c for c in comps}
-
-        def find(c):
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
+        asks = np.array(t.column("asks").to_pylist(), dtype=bool)
+        ids, comps = np.array(t.column("id").to_pylist()), np.array(t.column("comp").to_pylist())
+        items = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
         a, b = [], []
-        for p, x in enumerate(order):
-            for y in order[p + 1 :]:
-                if 100 * len(items[x]) < percent * len(items[y]):
-                    break  # sizes only grow from here
-                if find(comps[x]) != find(comps[y]) and linked(items[x], items[y], percent):
-                    parent[find(comps[x])] = find(comps[y])
-                    a.append(max(ids[x], ids[y]))
-                    b.append(min(ids[x], ids[y]))
+        if asks.any() and not asks.all():
+            both = intersections([x for x, q in zip(items, asks, strict=True) if q], [x for x, q in zip(items, asks, strict=True) if not q])
+            n = np.array([len(x) for x in items], dtype=np.int64)
+            ok = (100 * both >= percent * (n[asks][:, None] + n[~asks][None, :] - both)) & (comps[asks][:, None] != comps[~asks][None, :])
+            for i in np.flatnonzero(ok.any(1)):
+                at = np.flatnonzero(ok[i])
+                _, first = np.unique(comps[~asks][at], return_index=True)
+                b += ids[~asks][at[first]].tolist()
+                a += [int(ids[asks][i])] * len(first)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return full.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
+#: Columns of the 0/1 matrices that are multiplied at once.
+_COLUMNS = 4096
+
+
+def intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each x with each y: products of 0/1 matrices, some shared items at a time."""
+    flat_x, flat_y = np.concatenate(xs), np.concatenate(ys)
+    row_x, row_y = np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.repeat(np.arange(len(ys)), [len(y) for y in ys])
+    shared = np.intersect1d(flat_x, flat_y)
+    out = np.zeros((len(xs), len(ys)), np.int64)
+
+    def places(flat, row):
+        if not len(shared):
+            return flat[:0].astype(np.int64), row[:0]
+        at = np.searchsorted(shared, flat)
+        at[at == len(shared)] = 0
+        ok = shared[at] == flat
+        order = np.argsort(at[ok], kind="stable")
+        return at[ok][order], row[ok][order]
+
+    (cx, rx), (cy, ry) = places(flat_x, row_x), places(flat_y, row_y)
+    for lo in range(0, len(shared), _COLUMNS):
+        hi = min(lo + _COLUMNS, len(shared))
+        m = []
+        for c, r, n in ((cx, rx, len(xs)), (cy, ry, len(ys))):
+            i, j = np.searchsorted(c, (lo, hi))
+            x = np.zeros((n, hi - lo), np.float32)
+            x[r[i:j], c[i:j] - lo] = 1
+            m.append(x)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
     """(id, n_shingles, component_id) of each row of ``docs``.
 
-    With 48 bands of 6 rows, a pair at similarity 0.8 is a candidate with probability 1 - 5e-7.
+    With 36 bands of 5 rows, a pair at similarity 0.8 is a candidate with probability 1 - 6e-7.
     """
     sk = cut(sketches(docs, key, text, shingle, bands, rows), "sketches")
     named = sk.where(F.col("set_hash").isNotNull() & F.col("id").isNotNull())
     classes = named.groupBy("set_hash").agg(F.min("id").alias("rep"))
     own = named.join(classes, "set_hash").where(F.col("id") == F.col("rep")).dropDuplicates(["set_hash"])
-    reps = cut(own.select("id", "n", "keys"), "representatives").select("id", "n", F.explode("keys").alias("bucket"))
-    stats = reps.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("center"), F.min_by("n", "id").alias("center_n")).where(F.col("m") > 1)
-    members = cut(reps.join(stats, "bucket").select("bucket", "id", "n", "center", "center_n"), "buckets")
-    near = (F.col("id") != F.col("center")) & (F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * percent)
-    pairs = cut(members.where(near).select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
-    # Sets are made anew from the texts of those that need them; an id of several texts brings all of them.
+    reps = cut(own.select("id", "n", "keys"), "representatives")
+    dealt = reps.select("id", "n", F.explode("keys").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("__hi")).where(F.col("center") < F.col("__hi")).drop("__hi")
+    members = cut(dealt.join(shared, "bucket").select("bucket", "id", "n", "center"), "buckets")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = verified(pairs, cut(_sets_of(texts, paired, shingle), "sets"), percent)
     # An id of several texts is one document: it links their classes.
     several = named.groupBy("id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where(F.col("lo") < F.col("hi")).select("id")
     same = named.join(several, "id").join(classes, "set_hash").select(F.col("id").alias("a"), F.col("rep").alias("b")).where(F.col("a") != F.col("b"))
-    links = cut(links.unionByName(same), "links")
+    # First each document with the smallest of its buckets' centers: one pair for each document.
+    first = cut(members.groupBy("id").agg(F.min("center").alias("b")).where(F.col("id") != F.col("b")).withColumnRenamed("id", "a"), "pairs")
+    sets = cut(_sets_of(texts, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shingle), "sets")
+    links = cut(verified(first, sets, percent).unionByName(same), "links")
+    comp = components(links)
+    # Then with the other centers, where these aren't known to belong together.
+    others = members.select(F.col("id").alias("a"), F.col("center").alias("b"), "n").where(F.col("a") != F.col("b")).distinct().join(first, ["a", "b"], "left_anti")
+    others = _labelled(_labelled(others, comp, "a", "ca"), comp, "b", "cb").where(F.col("ca") != F.col("cb"))
+    sizes = reps.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).select(F.col("id").alias("b"), "lo", "hi")
+    others = others.join(sizes, "b").where((100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n")))
+    others = cut(others.select("a", "b").distinct(), "more-pairs")
+    links = cut(links.unionByName(verified(others, sets, percent)), "more-links")
     comp = components(links)
-    apart = cut(_apart(members.select("bucket", "id", "n"), comp), "apart")
-    if not apart.isEmpty():
-        others = _sets_of(texts, apart.select("id").distinct(), shingle)
-        links = cut(links.unionByName(_exhaustive(apart, others, percent)), "all-links")
-        comp = components(links)
+    # What is still apart within a bucket is compared exhaustively.
+    apart = cut(_apart(members.select("bucket", "id", "n"), comp), "apart-blocks")
+    found = cut(_exhaustive(apart, sets.join(apart.select("id").distinct(), "id", "left_semi"), percent), "last-links")
+    if not found.isEmpty():
+        comp = components(links.unionByName(found))
     out = sk.join(classes, "set_hash", "left").select("id", "set_hash", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep"))
     return out.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    return shingle_sets(texts.join(ids, "id", "left_semi"), shingle).dropDuplicates(["id", "items"])
+    """(id, items): sets are made anew from the texts of those that need them; an id of several texts has several."""
+    return shingle_sets(texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), shingle)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
