@@ -113,14 +113,14 @@ def active_anti_join(spark, sf_dir):
     return rows.select("vec_id").join(rows.where(F.col("status") == 2).select("vec_id"), "vec_id", "left_anti")
 
 
-@query(f"WITH {_V}, p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(b.e, a.e), 6) AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND b.status = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10")
+@query(f"WITH {_V}, p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(b.e, a.e), 6) AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND b.status = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10")
 def batch_knn(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     queries = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return exact.batch_knn(rows, queries, 10)
 
 
-@query(f"WITH {_V}, x AS (SELECT label, i, avg(e[i]) AS c FROM v, range(1, 65) t(i) WHERE status = 1 GROUP BY ALL) SELECT label, i - 1 AS dim, round(c, 5) AS value FROM x")
+@query(f"WITH {_V}, x AS (SELECT label, i, avg(e[i]) AS c FROM v, range(1, 65) t(i) WHERE status = 1 GROUP BY ALL) SELECT label, (i - 1)::INTEGER AS dim, round(c, 5) AS value FROM x")
 def label_centroids(spark, sf_dir):
     rows = exact.active(vectors(spark, sf_dir)).select("label", F.posexplode("embedding").alias("dim", "x"))
     return rows.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("value"))
@@ -331,7 +331,7 @@ def hybrid_filtered_topk(spark, sf_dir):
     return hybrid.hybrid_topk(vectors(spark, sf_dir), texts(spark, sf_dir), query_vector(spark, sf_dir), PHRASE, 10, 0.3, ids=ids).select("vec_id", "score")
 
 
-@query(f"WITH {_Q}, {_V}, {_HYBRID}, x AS (SELECT a.a AS alpha, vec_id, round(a.a * semantic + (1 - a.a) * keyword, 6) AS score FROM h, (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) a(a)), r AS (SELECT *, row_number() OVER (PARTITION BY alpha ORDER BY score DESC, vec_id) AS rank FROM x) SELECT alpha, vec_id, score, rank FROM r WHERE rank <= 5")
+@query(f"WITH {_Q}, {_V}, {_HYBRID}, x AS (SELECT a.a AS alpha, vec_id, round(a.a * semantic + (1 - a.a) * keyword, 6) AS score FROM h, (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) a(a)), r AS (SELECT *, row_number() OVER (PARTITION BY alpha ORDER BY score DESC, vec_id) AS rank FROM x) SELECT alpha, vec_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 5")
 def hybrid_alpha_sweep(spark, sf_dir):
     from pyspark.sql import Window
 
