@@ -42,3 +42,8 @@ def test_query(spark, duck, name):
         assert got == rows_of(names, r.fetchall())
     else:
         assert got
+
+
+def test_recall(spark):
+    found = [r["recall"] for r in queries.QUERIES["hnsw_recall"](spark, DIR).collect()]
+    assert sum(found) / len(found) >= 0.9

@@ -378,8 +378,9 @@ def hnsw_topk(spark, sf_dir):
     return hnsw.ann_topk(rows, index, query_vector(spark, sf_dir), 10, ef=64)
 
 
-@query("SELECT true AS at_least_90")
+@query()
 def hnsw_recall(spark, sf_dir):
+    """Recall at 10 of each query against the exact search."""
     rows, index = _index(spark, sf_dir)
     queries = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     sealed = rows.join(index.select("segment_id").distinct(), "segment_id", "left_semi")
@@ -387,7 +388,7 @@ def hnsw_recall(spark, sf_dir):
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = hnsw.search_index(index, rows, queries, 10, 64).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 10)
-    return exact.recall(found, exact.batch_knn(sealed, queries, 10), 10).agg((F.avg("recall") >= 0.9).alias("at_least_90"))
+    return exact.recall(found, exact.batch_knn(sealed, queries, 10), 10)
 
 
 # --- planning -----------------------------------------------------------------------------------------------
