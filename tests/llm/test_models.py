@@ -206,3 +206,25 @@ def test_pipeline(spark):
             assert gone.isdisjoint(r["doc_id"] for r in b) and len(a) - len(b) <= len(gone) + 2
         before = spark.createDataFrame(b, after.schema) if b else after
     assert pipeline.run(spark, DIR).count() == len(b)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in every column, repeated rows, extra columns with the operators' own names; then an empty table."""
+    import corpus_pipeline as pipeline
+
+    spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    line = "a line that is long enough to be shared by many documents"
+    rows = [(i, f"{line}\nown words number {i} and {i * i} of this text", "en" if i % 2 else "de", f"s{i % 3}", 9) for i in range(12)]
+    rows += [rows[0], (None, "some text without an id", None, None, None), (50, None, None, None, None), (51, "", "en", None, 0), (52, "alpha beta gamma delta epsilon zeta", "en", "s1", 1)]
+    extra = {"lang_pred": "x", "score": "x", "n_lines": "x", "id": "x", "item_id": "x", "bucket": "x", "component": "x"}
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string, source string, n_chars long").withColumns({k: F.lit(v) for k, v in extra.items()})
+    for empty in (False, True):
+        at = docs.limit(0) if empty else docs
+        for k, (name, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, at, str(tmp_path))
+            if name != "mix":
+                assert out.columns == docs.columns, name
+            out.write.parquet(path := str(tmp_path / f"{empty}-{k}"))
+            at = spark.read.parquet(path)
+        got = at.collect()
+        assert not got if empty else {r["doc_id"] for r in got} and not {50, 51, 52} & {r["doc_id"] for r in got}

@@ -107,10 +107,8 @@ def test_language_id(spark):
     assert by[9001]["lang_pred"] == by[9002]["lang_pred"] == "und" and by[9003]["lang_pred"] == "en" and by[None]["lang_pred"] == "de"
     again = language_id.fit(df.where(~held))
     assert (again.weights == model.weights).all() and again.temperature == model.temperature and (model.weights == 0).mean() > 0.5
-    with pytest.raises(ValueError):
-        language_id.keep_known(df, model)
-    kept = language_id.keep_known(df.drop("SCORE"), model)
-    assert kept.columns == ["doc_id", "text", "lang"] and {9001, 9002}.isdisjoint(r["doc_id"] for r in kept.collect())
+    kept = language_id.keep_known(df, model)
+    assert kept.columns == df.columns and {9001, 9002}.isdisjoint(r["doc_id"] for r in kept.collect())
     empty = language_id.fit(df.limit(0))
     assert {r["lang_pred"] for r in language_id.predict(df.limit(5), empty).collect()} == {"und"}
 
@@ -142,7 +140,7 @@ def test_quality_measures(spark):
     r = random.Random(5)
     texts = ["", None, " \n", "a", "a b c d e", "a b c d e f a b c d e", "a " * 5000, "x\nx\n \ny\nx", "é# *$\x0b%&|<>\xa0z", "a a a a a a"]
     texts += ["".join(r.choices(["a", "b", " ", "\n", " c", "#"], k=r.randint(0, 80))) for _ in range(150)]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], SCHEMA + ", n_words int").drop("n_words")
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], SCHEMA + ", n_words int")
     for x in quality_rules.measured(df).collect():
         assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == plain_base(texts[x["doc_id"]]), texts[x["doc_id"]]
 

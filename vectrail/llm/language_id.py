@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,10 +235,20 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return append_arrow(docs, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
 
 
+_KNOWN = "__known_language"
+
+
 def keep_known(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of at least ``least``; the columns of ``docs``."""
-    scored = predict(docs.withColumn("__text", F.col(text)), model, "__text")
-    keep: Column = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
-    if {"lang_pred", "score"} & {c.lower() for c in docs.columns}:
-        raise ValueError("docs has a column lang_pred or score; rename it first")
-    return scored.where(keep).select(*(F.col(f"`{c}`") for c in docs.columns))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        m = shared.value
+
+        def fn(texts: pa.Array) -> list[pa.Array]:
+            found = (m.scores(t) for t in texts.to_pylist())
+            return [pa.array([lang != UNKNOWN and p >= least for lang, p in found], pa.bool_())]
+
+        return fn
+
+    return append_arrow(docs, text, [T.StructField(_KNOWN, T.BooleanType())], make).where(_KNOWN).drop(_KNOWN)

@@ -55,9 +55,9 @@ def shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
     )
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """All rows of ``docs`` with the text without dropped lines, and columns ``n_lines``, ``n_dropped``."""
-    docs = docs.drop("n_lines", "n_dropped")
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, counts: bool = True) -> DataFrame:
+    """All rows of ``docs`` with the text without dropped lines; with ``counts``, n_lines and n_dropped replace any such columns."""
+    docs = docs.drop("n_lines", "n_dropped") if counts else docs
     names = docs.columns
     shared = cut(shared_lines(docs, key, text, min_chars, min_docs), "shared-lines")
     if shared.count() <= BROADCAST_KEYS:
@@ -77,4 +77,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     n_lines = F.size(_LINES).cast("long")
     new_text = F.when(F.col(_DROP).isNull(), F.col(text)).otherwise(F.array_join(F.transform("__kept", lambda i: F.get(F.col(_LINES), i)), "\n"))
     n_dropped = F.when(F.col(_DROP).isNull(), F.lit(0)).otherwise(F.size(_LINES) - F.size("__kept")).cast("long")
-    return rows.select(*(new_text.alias(text) if c == text else F.col(f"`{c}`") for c in names), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    more = [n_lines.alias("n_lines"), n_dropped.alias("n_dropped")] if counts else []
+    return rows.select(*(new_text.alias(text) if c == text else F.col(f"`{c}`") for c in names), *more)

@@ -61,7 +61,7 @@ def _repeat_words(words: Column, hashes: Column, window: int) -> Column:
 def measured(docs: DataFrame, text: str = "text", settings: Settings | None = None) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks.
 
-    Everything is computed within a row: windows are hashed (64 bits), and only documents in which a hash
+    Columns of ``docs`` with these names are replaced. Everything is computed within a row: windows are hashed (64 bits), and only documents in which a hash
     repeats sort their windows, so a row costs n log n at most and nothing is shuffled.
     """
     s = settings or Settings()
@@ -80,8 +80,9 @@ def measured(docs: DataFrame, text: str = "text", settings: Settings | None = No
     m = F.size("__at")
     gaps = F.zip_with(F.slice("__at", 1, m - 1), F.slice("__at", 2, m), lambda a, b: F.least(b - a, F.lit(k)))
     repeated = F.when(F.col("__at").isNotNull() & (m > 0), F.aggregate(gaps, F.lit(k).cast("long"), lambda acc, g: acc + g)).otherwise(F.lit(0).cast("long"))
-    out = df.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
+    new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"}
+    return df.select(
+        *(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new),
         n.cast("long").alias("n_words"),
         F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -91,7 +92,6 @@ def measured(docs: DataFrame, text: str = "text", settings: Settings | None = No
         F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count(t, F.lit(r"[!?|_~^=]")).cast("long").alias("n_marks"),
     )
-    return out
 
 
 def _measures() -> dict[str, Column]:
