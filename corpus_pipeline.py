@@ -24,7 +24,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many share, each kept in one of them; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).drop("n_lines", "n_dropped")
+    out = line_dedup.dedup_lines(docs, counts=False)
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
