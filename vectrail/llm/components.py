@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(r)
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none: the edges are stars around the least nodes."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child")))).alias("e")
+    nodes = edges.select(ends).groupBy("e.node").agg(F.sum("e.child").alias("up"), F.min("e.child").alias("down"))
+    return nodes.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 0))).isEmpty()
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -21,20 +23,15 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     u, v = F.greatest("a", "b"), F.least("a", "b")
     edges = cut(links.where(F.col("a") != F.col("b")).select(u.alias("u"), v.alias("v")).distinct(), "edges")
-    mark = _mark(edges)
     for _ in range(most_rounds):
-        if not mark[0]:
+        if _settled(edges):
             break
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = cut(small.where(F.col("u") != F.col("v")).distinct(), "edges")
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct().toDF("node", "component"))

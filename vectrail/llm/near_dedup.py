@@ -6,11 +6,11 @@ bin fills. A bin keeps its least value. Rounds end as soon as all bins are full,
 throws for small sets and one round for large ones, and the share of agreeing coordinates has
 Chernoff-type bounds around the Jaccard similarity (Dahlgaard, Knudsen and Thorup, 2017).
 
-Documents that agree on a whole band are candidates; links are confirmed on the full shingle sets. Documents
-of one set are one class, and only class representatives take part. A document is compared with the smallest
-document of its buckets first, then with each bucket's smallest one where they are still apart. Buckets
-that then hold several components are compared exhaustively: members outside the largest component, in
-blocks, with all members. No list of pairs of a group is ever made.
+Documents that agree on a whole band and aren't too different in size are candidates; links are confirmed
+on the full shingle sets. Documents of one set are one class, and only class representatives take part. A
+document is compared with the smallest document of its buckets first, then with each bucket's smallest one
+where they are still apart. Buckets that then hold several components are compared exhaustively: members
+outside the largest component, in blocks, with all members. No list of pairs of a group is ever made.
 
 Cases: text with fewer words than a shingle is one shingle of all its words; without words (null, empty) a
 document is linked with nothing; rows of one id are one document, linked by any of its texts; a null id
@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import mix, pair_hash, words
@@ -137,9 +137,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _labelled(rows: DataFrame, comp: DataFrame, column: str = "id", name: str = "comp") -> DataFrame:
+def _labelled(rows: DataFrame, comp: DataFrame, column: str = "id", name: str = "comp", label: str = "component") -> DataFrame:
     """``rows`` with the component of the id in a column, itself where it has no link."""
-    own = comp.select(F.col("node").alias(column), F.col("component").alias("__c"))
+    own = comp.select(F.col("node").alias(column), F.col(label).alias("__c"))
     return rows.join(own, column, "left").select(*rows.columns, F.coalesce("__c", column).alias(name))
 
 
@@ -165,18 +165,18 @@ def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:
 def _exhaustive(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between each bucket's queries and all its members, block against block.
 
-    A block has at most about BLOCK members or BLOCK_BYTES; a task holds two. It gives one link for each
-    query and component that it finds, however many members of it the query is linked with.
+    A block has at most about BLOCK members or BLOCK_BYTES; a task holds two. It gives pairs of components
+    (ca, cb) that a link joins, one for each query and component, however many links there are.
     """
     place = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     queries = apart.where(F.col("comp") != F.col("main")).select("bucket", "id", "comp", F.lit(True).alias("asks"), place(5, "kq").alias("i"), every("km").alias("j"))
     members = apart.select("bucket", "id", "comp", F.lit(False).alias("asks"), place(7, "km").alias("j"), every("kq").alias("i")).select("bucket", "id", "comp", "asks", "i", "j")
-    full = queries.unionByName(members).join(sets, "id").select("bucket", "i", "j", "id", "comp", "asks", "items")
+    full = queries.unionByName(members).join(sets, "id").select("bucket", "i", "j", "comp", "asks", "items")
 
     def compare(t: pa.Table) -> pa.Table:
         asks = np.array(t.column("asks").to_pylist(), dtype=bool)
-        ids, comps = np.array(t.column("id").to_pylist()), np.array(t.column("comp").to_pylist())
+        comps = np.array(t.column("comp").to_pylist())
         items = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
         a, b = [], []
         if asks.any() and not asks.all():
@@ -184,13 +184,12 @@ def _exhaustive(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             n = np.array([len(x) for x in items], dtype=np.int64)
             ok = (100 * both >= percent * (n[asks][:, None] + n[~asks][None, :] - both)) & (comps[asks][:, None] != comps[~asks][None, :])
             for i in np.flatnonzero(ok.any(1)):
-                at = np.flatnonzero(ok[i])
-                _, first = np.unique(comps[~asks][at], return_index=True)
-                b += ids[~asks][at[first]].tolist()
-                a += [int(ids[asks][i])] * len(first)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                other = np.unique(comps[~asks][ok[i]])
+                b += other.tolist()
+                a += [int(comps[asks][i])] * len(other)
+        return pa.table({"ca": pa.array(a, pa.int64()), "cb": pa.array(b, pa.int64())})
 
-    return full.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return full.groupBy("bucket", "i", "j").applyInArrow(compare, "ca long, cb long").distinct()
 
 
 #: Columns of the 0/1 matrices that are multiplied at once.
@@ -226,6 +225,22 @@ def intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _by_size(members: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id, n, center): buckets split wherever their sets' sizes leave a gap that no link can bridge.
+
+    The gaps are found among a bucket's size classes, one row each, not among its members. Parts of one
+    member are gone.
+    """
+    members = members.withColumn("k", F.floor(F.ln("n") / F.lit(0.05)).cast("int"))
+    classes = members.groupBy("bucket", "k").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    order = Window.partitionBy("bucket").orderBy("k")
+    gap = F.when(100 * F.lag("hi").over(order) < percent * F.col("lo"), 1).otherwise(0)
+    parts = classes.withColumn("gap", gap).withColumn("part", F.sum("gap").over(order)).select("bucket", "k", "part")
+    split = members.join(parts, ["bucket", "k"]).select(F.xxhash64("bucket", "part").alias("bucket"), "id", "n")
+    shared = split.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("hi")).where(F.col("center") < F.col("hi")).drop("hi")
+    return split.join(shared, "bucket").select("bucket", "id", "n", "center")
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
     """(id, n_shingles, component_id) of each row of ``docs``.
 
@@ -233,12 +248,13 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     sk = cut(sketches(docs, key, text, shingle, bands, rows), "sketches")
     named = sk.where(F.col("set_hash").isNotNull() & F.col("id").isNotNull())
-    classes = named.groupBy("set_hash").agg(F.min("id").alias("rep"))
-    own = named.join(classes, "set_hash").where(F.col("id") == F.col("rep")).dropDuplicates(["set_hash"])
-    reps = cut(own.select("id", "n", "keys"), "representatives")
+    # Rows of one set have the same keys: tasks reduce a class to one row before the shuffle.
+    classes = cut(named.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    reps = classes.select(F.col("rep").alias("id"), "n", "keys")
+    classes = classes.select("set_hash", "rep")
     dealt = reps.select("id", "n", F.explode("keys").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("__hi")).where(F.col("center") < F.col("__hi")).drop("__hi")
-    members = cut(dealt.join(shared, "bucket").select("bucket", "id", "n", "center"), "buckets")
+    members = cut(_by_size(cut(dealt.join(shared, "bucket").select("bucket", "id", "n"), "buckets"), percent), "members")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     # An id of several texts is one document: it links their classes.
     several = named.groupBy("id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where(F.col("lo") < F.col("hi")).select("id")
@@ -247,20 +263,21 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     first = cut(members.groupBy("id").agg(F.min("center").alias("b")).where(F.col("id") != F.col("b")).withColumnRenamed("id", "a"), "pairs")
     sets = cut(_sets_of(texts, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shingle), "sets")
     links = cut(verified(first, sets, percent).unionByName(same), "links")
-    comp = components(links)
-    # Then with the other centers, where these aren't known to belong together.
+    # Then with the other centers, where these aren't known to belong together: by a link, or by a link of the link.
+    near = links.groupBy("a").agg(F.min("b").alias("b"))
+    comp = near.join(near.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("component"))
+    comp = cut(comp, "near-labels")
     others = members.select(F.col("id").alias("a"), F.col("center").alias("b"), "n").where(F.col("a") != F.col("b")).distinct().join(first, ["a", "b"], "left_anti")
     others = _labelled(_labelled(others, comp, "a", "ca"), comp, "b", "cb").where(F.col("ca") != F.col("cb"))
     sizes = reps.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).select(F.col("id").alias("b"), "lo", "hi")
     others = others.join(sizes, "b").where((100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n")))
-    others = cut(others.select("a", "b").distinct(), "more-pairs")
-    links = cut(links.unionByName(verified(others, sets, percent)), "more-links")
+    links = cut(links.unionByName(verified(others.select("a", "b").distinct(), sets, percent)), "more-links")
     comp = components(links)
-    # What is still apart within a bucket is compared exhaustively.
+    # What is still apart within a bucket is compared exhaustively; its links join whole components.
     apart = cut(_apart(members.select("bucket", "id", "n"), comp), "apart-blocks")
-    found = cut(_exhaustive(apart, sets.join(apart.select("id").distinct(), "id", "left_semi"), percent), "last-links")
-    if not found.isEmpty():
-        comp = components(links.unionByName(found))
+    found = _exhaustive(apart, sets.join(apart.select("id").distinct(), "id", "left_semi"), percent)
+    joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    comp = _labelled(comp, joined.withColumnRenamed("component", "whole"), "component", "final", "whole").select("node", F.col("final").alias("component")).unionByName(joined.join(comp, "node", "left_anti"))
     out = sk.join(classes, "set_hash", "left").select("id", "set_hash", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep"))
     return out.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
