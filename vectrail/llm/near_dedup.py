@@ -282,8 +282,14 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return out.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+#: Most ids that are broadcast to pick their texts (8 bytes each); beyond it texts and ids are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def _sets_of(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(id, items): sets are made anew from the texts of those that need them; an id of several texts has several."""
+    ids = cut(ids, "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return shingle_sets(texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), shingle)
 
 
