@@ -63,6 +63,29 @@ def test_near_components(spark, size, monkeypatch):
     assert near_dedup.near_components(df.limit(0)).count() == 0
 
 
+def test_near_copies_with_a_shared_passage(spark):
+    r = random.Random(12)
+    prose = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(150):  # five documents share half their text; the last two are near copies
+        passage = prose(60)
+        texts += [" ".join(passage + prose(60)) for _ in range(3)]
+        own = prose(60)
+        texts += [" ".join(passage + own), " ".join(passage + own[:55] + prose(5))]
+    docs = list(enumerate(texts))
+    got = near_dedup.near_components(spark.createDataFrame(docs, SCHEMA), shingle=2)
+    assert {r["id"]: r["component_id"] for r in got.collect()} == plain_components(docs, 2, 80)
+
+
+def test_a_missing_set_is_an_error(spark):
+    sets = near_dedup.shingle_sets(spark.createDataFrame([(1, "a b c")], "id long, text string"), 2)
+    with pytest.raises(Exception, match="no shingle set"):
+        near_dedup.verified(spark.createDataFrame([(2, 1)], "a long, b long"), sets, 80).collect()
+    apart = spark.createDataFrame([(7, 1, 1, 1, 1, 1), (7, 2, 2, 1, 1, 1)], "bucket long, id long, comp long, main long, kq int, km int")
+    with pytest.raises(Exception, match="no shingle set"):
+        near_dedup._exhaustive(apart, sets, 80).collect()
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(2)
     for n in (1, 3, 50, 3000):

@@ -125,12 +125,18 @@ def linked(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _none_missing(t: pa.RecordBatch | pa.Table) -> None:
+    if any(t.column(c).null_count for c in ("x", "y", "items") if c in t.schema.names):
+        raise ValueError("a document to be compared has no shingle set")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+    """The rows (a, b) of ``pairs`` whose sets are similar enough; an id without a set is an error."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a", "left").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b", "left").select("a", "b", "x", "y")
 
     def run(batches):
         for t in batches:
+            _none_missing(t)
             ok = pa.array([linked(x, y, percent) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(ok)
 
@@ -166,15 +172,17 @@ def _exhaustive(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between each bucket's queries and all its members, block against block.
 
     A block has at most about BLOCK members or BLOCK_BYTES; a task holds two. It gives pairs of components
-    (ca, cb) that a link joins, one for each query and component, however many links there are.
+    (ca, cb) that a link joins, one for each query and component, however many links there are. A member
+    without a set is an error.
     """
     place = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     queries = apart.where(F.col("comp") != F.col("main")).select("bucket", "id", "comp", F.lit(True).alias("asks"), place(5, "kq").alias("i"), every("km").alias("j"))
     members = apart.select("bucket", "id", "comp", F.lit(False).alias("asks"), place(7, "km").alias("j"), every("kq").alias("i")).select("bucket", "id", "comp", "asks", "i", "j")
-    full = queries.unionByName(members).join(sets, "id").select("bucket", "i", "j", "comp", "asks", "items")
+    full = queries.unionByName(members).join(sets, "id", "left").select("bucket", "i", "j", "comp", "asks", "items")
 
     def compare(t: pa.Table) -> pa.Table:
+        _none_missing(t)
         asks = np.array(t.column("asks").to_pylist(), dtype=bool)
         comps = np.array(t.column("comp").to_pylist())
         items = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
@@ -259,9 +267,11 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # An id of several texts is one document: it links their classes.
     several = named.groupBy("id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where(F.col("lo") < F.col("hi")).select("id")
     same = named.join(several, "id").join(classes, "set_hash").select(F.col("id").alias("a"), F.col("rep").alias("b")).where(F.col("a") != F.col("b"))
-    # First each document with the smallest of its buckets' centers: one pair for each document.
-    first = cut(members.groupBy("id").agg(F.min("center").alias("b")).where(F.col("id") != F.col("b")).withColumnRenamed("id", "a"), "pairs")
-    sets = cut(_sets_of(texts, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shingle), "sets")
+    # First each document with the smallest of its buckets' centers: one pair for each document. A document that
+    # is the smallest of all its buckets is in no such pair, but later steps compare it: every member has its set.
+    least = cut(members.groupBy("id").agg(F.min("center").alias("b")), "pairs")
+    first = least.where(F.col("id") != F.col("b")).withColumnRenamed("id", "a")
+    sets = cut(_sets_of(texts, least.select("id"), shingle), "sets")
     links = cut(verified(first, sets, percent).unionByName(same), "links")
     # Then with the other centers, where these aren't known to belong together: by a link, or by a link of the link.
     near = links.groupBy("a").agg(F.min("b").alias("b"))
