@@ -439,6 +439,17 @@ def latency_ema(spark, sf_dir):
     return seen.select(F.round(F.aggregate("o", F.lit(1e-4), step), 6).alias("ratio"), F.size("o").cast("long").alias("observations"))
 
 
+@query()
+def latency_ema_all(spark, sf_dir):
+    """The fold of all observations in closed form: one weighs 0.2 * 0.8^(valid observations after it), the start 0.8^(all)."""
+    rows = table(spark, sf_dir, "events").select("event_id", "value")
+    valid = segments.ordinals(rows.where(F.col("value") > 0), "event_id", "k")
+    m = valid.count()
+    parts = valid.select((F.lit(0.2) * (50.0 / F.col("value")) * F.pow(F.lit(0.8), m - 1 - F.col("k"))).alias("part"))
+    ratio = F.coalesce(F.sum("part"), F.lit(0.0)) + F.lit(1e-4 * 0.8**m)
+    return parts.agg(F.round(ratio, 6).alias("ratio"), F.lit(rows.count()).cast("long").alias("observations"))
+
+
 # --- ingestion and events -------------------------------------------------------------------------------------
 
 
