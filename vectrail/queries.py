@@ -263,6 +263,13 @@ def append_union(spark, sf_dir):
     return p.where(F.col("segment_id") < 2).unionByName(p.where(F.col("segment_id") == 2).withColumn("vec_id", F.col("vec_id") + 1_000_000))
 
 
+@query(f"WITH {_P} SELECT vec_id, segment_id FROM p WHERE segment_id % 2 = 0 UNION ALL SELECT vec_id + 1000000 AS vec_id, segment_id FROM p WHERE segment_id % 2 = 1")
+def append_union_all(spark, sf_dir):
+    """All rows: those of even segments, and those of odd ones under shifted ids."""
+    p = placed(spark, sf_dir).select("vec_id", "segment_id")
+    return p.where(F.col("segment_id") % 2 == 0).unionByName(p.where(F.col("segment_id") % 2 == 1).withColumn("vec_id", F.col("vec_id") + 1_000_000))
+
+
 @query(f"WITH {_P} SELECT segment_id, count(*) AS records, (count(*) * 64 * 4 + sum(length(label::VARCHAR)))::BIGINT AS bytes FROM p GROUP BY segment_id")
 def segment_memory(spark, sf_dir):
     return cache.memory(placed(spark, sf_dir).withColumn("payload", F.col("label").cast("string")), payload="payload")
