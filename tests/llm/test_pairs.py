@@ -164,6 +164,19 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 == decontaminate.contaminated(df, bench.limit(0)).count()
 
 
+def test_pipeline_judges_each_row_by_its_text(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    items = [(i, " ".join(f"x{i}y{j}" for j in range(12))) for i in range(3)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(None, items[0][1], 1), (None, "clean text", 2), (5, "so " + items[2][1], 3), (5, "another clean text", 4), (6, None, 5), (7, "", 6)]
+    df = spark.createDataFrame(docs, SCHEMA + ", k int")
+    for most in (decontaminate.BROADCAST_BYTES, 70):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+        left = corpus_pipeline.benchmark_leaks(spark, df, str(tmp_path))
+        assert left.columns == df.columns and sorted(r["k"] for r in left.collect()) == [2, 4, 5, 6]
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"x{i}y{j}" for j in range(12))) for i in range(9)], "item_id long, text string")
     docs = items.select(F.col("item_id").alias("doc_id"), "text")

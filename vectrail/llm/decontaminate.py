@@ -26,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowtext import mix, pair_hash
+from .common import append_arrow
 
 _U = np.uint64
 BROADCAST_BYTES = 16 << 20
@@ -252,3 +254,22 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
     """The rows of ``docs`` in which no benchmark item is found; columns as they were."""
     found = contaminated(docs, benchmark, key, text, settings=settings).select(F.col("doc_id").alias("__leak")).where(F.col("__leak").isNotNull()).distinct()
     return docs.join(found, F.col(key) == F.col("__leak"), "left_anti")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings | None = None) -> DataFrame:
+    """The rows of ``docs`` in whose own text no benchmark item is found, whatever their id; columns as they were."""
+    s = settings or Settings()
+    out = docs
+    for block in _blocks(benchmark, item, item_text):
+        vocabulary = {w for _, t in block for w in split_words(t)}
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, _frequencies(docs, text, vocabulary), s))
+        out = _unmatched(out, text, shared)
+    return out
+
+
+def _unmatched(docs: DataFrame, text: str, shared) -> DataFrame:
+    def make():
+        index = shared.value
+        return lambda texts: [pa.array([bool(index.find(t.as_py())) for t in texts], pa.bool_())]
+
+    return append_arrow(docs, text, [T.StructField("__leak", T.BooleanType())], make).where(~F.col("__leak")).drop("__leak")
