@@ -1,4 +1,8 @@
-"""HTML to leaf blocks: text, the path of tags above it, and how much of it is links."""
+"""HTML to leaf blocks: text, the path of tags above it, and how much of it is links.
+
+Elements with the attribute ``hidden`` or the style ``display:none`` are dropped here with all their text, by rule:
+the labeller never sees them, also where they are inside an article.
+"""
 
 from __future__ import annotations
 
