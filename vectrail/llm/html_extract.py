@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 
 from .arrowtext import words
 from .common import append_arrow
-from .html_blocks import Block, blocks
+from .html_blocks import PLACES, Block, blocks
 from .html_training import Maker
 
-PATH, WORDS, NUMBERS = 96, 48, 10
+PATH, WORDS, NUMBERS = PLACES, 48, 10
 #: Blocks (with padding) that are labelled at once, unless one page has more.
 STEP = 8192
 
@@ -39,22 +39,6 @@ class Settings:
     seed: int = 11
 
 
-def _place(name: str, n: int, salt: int) -> int:
-    import zlib
-
-    return zlib.crc32(f"{salt}{name}".encode()) % n
-
-
-@lru_cache(maxsize=4096)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, np.float32)
-    for x in path:
-        # Each name in two places: names that meet in one differ in the other. A compound name gives its parts.
-        for salt in (1, 2):
-            v[_place(x, PATH, salt)] = 1.0
-    return v
-
-
 def features(pages: list[list[Block]]) -> np.ndarray:
     """One row for each block of all pages, in order."""
     flat = [b for p in pages for b in p]
@@ -67,16 +51,16 @@ def features(pages: list[list[Block]]) -> np.ndarray:
         n = np.bincount(w.doc * WORDS + place.astype(np.int64), minlength=w.n_docs * WORDS).reshape(-1, WORDS)
         out[w.first : w.first + w.n_docs, PATH : PATH + WORDS] = n / np.maximum(np.sqrt((n * n).sum(1, keepdims=True)), 1)
         out[w.first : w.first + w.n_docs, PATH + WORDS] = np.log1p(np.diff(w.bounds)) / 5
+    mask = b"".join(b.path.places.to_bytes(PATH // 8, "little") for b in flat)
+    out[:, :PATH] = np.unpackbits(np.frombuffer(mask, np.uint8).reshape(len(flat), -1), axis=1, bitorder="little")
     at = 0
     for p in pages:
         total = max(1, sum(len(b.text) for b in p))
         for i, b in enumerate(p):
-            out[at, :PATH] = _path_vector(b.path)
             n = len(b.text)
             out[at, PATH + WORDS + 1 :] = (
-                np.log1p(n) / 8, b.link, i / len(p), 1.0 - i / len(p), n / total, len(b.path) / 12,
-                float(b.path[-1][0] != "." and b.path[-1] in ("p", "li", "td", "blockquote", "pre", "dd")) if b.path else 0.0,
-                float(any(x in ("h1", "h2", "h3") for x in b.path)), float(b.text[-1] in ".!?:;\"»”"),
+                np.log1p(n) / 8, b.link, i / len(p), 1.0 - i / len(p), n / total, b.path.length / 12,
+                float(b.path.last in ("p", "li", "td", "blockquote", "pre", "dd")), float(b.path.heading), float(b.text[-1] in ".!?:;\"»”"),
             )
             at += 1
     return out
