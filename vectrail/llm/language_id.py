@@ -6,7 +6,8 @@ all rows that may be learned from. Prediction reads whole texts, with a weight m
 
 Cases: a null text, or one without a letter, gives ``und`` and score 0; so does every text when nothing
 could be learned (empty table, no labels). Rows are predicted one by one: order, equal rows and null ids
-don't matter. A longer text is handled in blocks of characters.
+don't matter. A long text is handled in blocks of characters, which changes no count. More labels than
+``max_labels`` are an error.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class Settings:
     orders: tuple[int, ...] = (1, 2, 3)  # lengths of the n-grams, in code points
     buckets: int = 1 << 14  # hashed n-grams
     max_rows: int = 4000  # labelled rows that are fitted on, at the most
-    max_labels: int = 256  # the most frequent labels that are learned
+    max_labels: int = 256  # more labels than this are an error: the model has a row of weights for each
     epochs: int = 4
     alpha: float = 0.5  # FTRL learning rate
     beta: float = 1.0
@@ -49,25 +50,22 @@ _BLOCK = 1 << 18
 
 
 def ngram_counts(text: str, orders: tuple[int, ...], buckets: int) -> np.ndarray | None:
-    """Counts of hashed n-grams of the lower-cased text, other characters as one space; None without a letter."""
-    out = None
+    """Counts of hashed n-grams of the lower-cased text, runs of other characters as one space; None without a letter.
+
+    Blocks of the text are read with the last characters before them, so that where a block ends changes nothing.
+    """
+    out, found = np.zeros(buckets, dtype=np.int64), False
     shift = np.uint64(64 - buckets.bit_length() + 1)
     longest = max(orders)
     low = text.lower()
+    tail, after_letter = np.empty(0, np.uint64), True
     for begin in range(0, len(low), _BLOCK):
-        # A block ends with the first characters of the next one, so that no n-gram is lost or counted twice.
-        piece = low[begin : begin + _BLOCK + longest - 1]
-        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.frombuffer(low[begin : begin + _BLOCK].encode("utf-32-le", "surrogatepass"), "<u4")
         letter = _letters()[codes]
-        if not letter.any():
-            continue
-        out = np.zeros(buckets, dtype=np.int64) if out is None else out
-        c = np.where(letter, codes, 32).astype(np.uint64)
-        keep = np.ones(len(c), dtype=bool)
-        if begin == 0:
-            keep[1:] = letter[1:] | letter[:-1]  # runs of spaces count as one
-            c, letter = c[keep], letter[keep]
-        n_own = int(keep[: _BLOCK].sum()) if begin == 0 else min(_BLOCK, len(c))
+        found = found or bool(letter.any())
+        keep = letter | np.append(after_letter, letter[:-1])
+        after_letter = letter[-1]
+        c = np.concatenate([tail, np.where(letter, codes, 32)[keep].astype(np.uint64)])
         h = np.zeros(len(c), dtype=np.uint64)
         for n in range(1, longest + 1):
             m = len(c) - n + 1
@@ -75,12 +73,13 @@ def ngram_counts(text: str, orders: tuple[int, ...], buckets: int) -> np.ndarray
                 break
             h = (h[:m] * np.uint64(0x100000001B3) + c[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
             if n in orders:
-                own = h[: min(m, n_own)]
+                own = h[max(0, len(tail) - n + 1) :]  # those that end in this block
                 if n == 1:
-                    own = own[letter[: len(own)]]
+                    own = own[c[len(tail) :] != 32]
                 salt = np.uint64(n * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
                 out += np.bincount((own + salt) * np.uint64(0xA0761D6478BD642F) >> shift, minlength=buckets)
-    return out
+        tail = c[max(0, len(c) - longest + 1) :]
+    return out if found else None
 
 
 def _tfidf(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +133,11 @@ def _document_frequencies(docs: DataFrame, text: str, s: Settings) -> tuple[np.n
 
 def _sample(docs: DataFrame, text: str, label: str, key: str, s: Settings) -> tuple[list[str], list[tuple[int, np.ndarray]]]:
     """At most ``max_rows`` labelled rows as n-gram counts, about as many of each label, chosen by a hash of the id."""
-    sizes = docs.groupBy(F.col(label).alias("label")).count().orderBy(F.desc("count"), "label").limit(s.max_labels).collect()
+    sizes = docs.groupBy(F.col(label).alias("label")).count().limit(s.max_labels + 1).collect()
     if not sizes:
         return [], []
+    if len(sizes) > s.max_labels:
+        raise ValueError(f"more than {s.max_labels} labels to learn; give Settings a larger max_labels")
     labels = sorted(r["label"] for r in sizes)
     each = s.max_rows / len(sizes)
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["label"], min(1.0, each / r["count"]))))
@@ -239,7 +240,11 @@ _KNOWN = "__known_language"
 
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of at least ``least``; the columns of ``docs``."""
+    """The rows of ``docs`` whose language is known with a score of at least ``least``; the columns of ``docs``.
+
+    A score is at least one in the number of labels, so with three labels or fewer the default rejects only
+    texts without a letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
