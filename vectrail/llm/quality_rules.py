@@ -120,21 +120,20 @@ def _lgamma(x: Column) -> Column:
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k) for k <= n p (else 1), exact: terms are added downwards from k, each from the one above.
+    """P(Bin(n, p) <= k) for k <= n p (else 1): terms are added downwards from k, each from the one above.
 
-    After 20000 terms the rest is bounded by a geometric series, which is added, so the value is never too small.
+    The logarithm of the terms is concave with a bend of at least 1/k, so the i-th term below k is at most
+    exp(-i (i - 1) / 2k) of it: terms after the first 10 sqrt(k) + 10 are below double precision, and none
+    that counts is left out, whatever the size of k.
     """
     n, k = n.cast("double"), k.cast("double")
     top = _lgamma(n + 1) - _lgamma(k + 1) - _lgamma(n - k + 1) + k * F.ln(F.lit(p)) + (n - k) * F.ln(F.lit(1 - p))
-    most = 20_000
-    steps = F.sequence(F.lit(0), F.least(k, F.lit(float(most))).cast("int"))
+    steps = F.sequence(F.lit(0), F.least(k, F.ceil(10 * F.sqrt(k)) + 10).cast("int"))
     # term(j - 1) = term(j) * j (1 - p) / ((n - j + 1) p), with j = k - i, relative to term(k)
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
     ratio = lambda i: (k - i) * (1 - p) / ((n - (k - i) + 1) * p)
     added = F.aggregate(steps, start, lambda a, i: F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * ratio(i)).alias("term")))
-    r = ratio(F.lit(float(most)))
-    rest = F.when(k > most, added["term"] / F.greatest(1 - r, F.lit(1e-9))).otherwise(0.0)
-    return F.when((n <= 0) | (k > n * p), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top) * (added["sum"] + rest)))
+    return F.when((n <= 0) | (k > n * p), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top) * added["sum"]))
 
 
 def thresholds(rows: DataFrame, labels: DataFrame, settings: Settings | None = None, key: str = "doc_id", label: str = "quality") -> DataFrame:
