@@ -105,15 +105,17 @@ class Model:
     def vote(self, z: np.ndarray) -> np.ndarray:
         cosine = z @ self.vectors
         k = min(self.settings.neighbours, len(self.labels))
-        # The k nearest; a stable order makes ties definite.
-        near = np.argsort(-np.round(cosine, 9), axis=1, kind="stable")[:, :k] if cosine.shape[1] <= 4 * k else _top(cosine, k)
+        near = nearest(cosine, k)
         w = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** self.settings.power
         return np.clip((w * self.labels[near]).sum(1) / w.sum(1), 0.0, 1.0)
 
 
-def _top(cosine: np.ndarray, k: int) -> np.ndarray:
-    some = np.sort(np.argpartition(-cosine, 2 * k, axis=1)[:, : 2 * k], axis=1)
-    order = np.argsort(-np.round(np.take_along_axis(cosine, some, 1), 9), axis=1, kind="stable")[:, :k]
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest cosines of each row, equal ones (to 9 decimals) in order of place: no two keys are equal."""
+    m = cosine.shape[1]
+    key = np.rint(cosine * 1e9).astype(np.int64) * m - np.arange(m)
+    some = np.argpartition(-key, k - 1, axis=1)[:, :k]
+    order = np.argsort(-np.take_along_axis(key, some, 1), axis=1)
     return np.take_along_axis(some, order, 1)
 
 
