@@ -14,7 +14,8 @@ added up, and only the one range in which the budget ends is ordered.
 Cases: null languages and sources are the text ``(null)``; a null or empty text has 0 tokens and belongs
 to the prefix as far as its place in the order does; rows of one id are ordered by id and then by the hash of
 their text, and equal rows are taken together by the sum of their tokens; a leaf without tokens gets no budget;
-an empty table gives an empty result. Columns of the result that the input already has are replaced.
+what has weight 0 gets none and its share goes to the others; a negative weight is an error;
+an empty table gives an empty result. Tokens are white-space words. Columns of the result that the input already has are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +41,11 @@ class Targets:
     budget: float = 0.5  # of the input's tokens
     max_epochs: int = 3
     seed: str = "mix-1"
-    range_rows: int = 20_000  # documents of a range, about
+    range_rows: int = 2_000  # documents of a range, about
+
+    def __post_init__(self):
+        if any(not 0 <= w < float("inf") for level in (self.domains, self.languages, self.sources) for w in level.values()):
+            raise ValueError("weights are finite and not negative")
 
 
 def n_words(text: Column) -> Column:
@@ -63,7 +68,6 @@ def _share(level: DataFrame, parent: list[str]) -> DataFrame:
     """``budget`` of each child from ``parent_budget``, ``weight`` and ``capacity``: water-filling in closed form."""
     # Children fill up in this order; the names make ties definite and change no share.
     names = [c for c in ("domain", "lang", "source") if c in level.columns and c not in parent]
-    level = level.where(F.col("weight") > 0)
     w = Window.partitionBy(*parent).orderBy(F.col("capacity") / F.col("weight"), *names)
     before = F.coalesce(F.sum("capacity").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     after = F.sum("weight").over(w.rowsBetween(0, Window.unboundedFollowing))
@@ -78,9 +82,12 @@ def leaf_budgets(rows: DataFrame, t: Targets) -> DataFrame:
     """(domain, lang, source, tokens, docs, budget): from the tokens of each leaf, one row per leaf throughout."""
     leaves = rows.groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     leaves = cut(leaves.withColumn("capacity", F.col("tokens").cast("double") * t.max_epochs), "leaves")
+    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(t.budget)).cast("double")).first()[0]  # one number
+    # What weighs nothing gets nothing, so it has no capacity in its ancestors either.
+    for name, weights in (("domain", t.domains), ("lang", t.languages), ("source", t.sources)):
+        leaves = leaves.where(_weight(F.col(name), weights) > 0)
     langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"))
     domains = langs.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(t.budget)).cast("double")).first()[0]  # one number
     top = _share(domains.withColumn("parent_budget", F.lit(total)).withColumn("weight", _weight(F.col("domain"), t.domains)), [])
     mid = _share(langs.join(top.select("domain", F.col("budget").alias("parent_budget")), "domain").withColumn("weight", _weight(F.col("lang"), t.languages)), ["domain"])
     low = leaves.join(mid.select("domain", "lang", F.col("budget").alias("parent_budget")), ["domain", "lang"]).withColumn("weight", _weight(F.col("source"), t.sources))
