@@ -74,8 +74,8 @@ def byte_ranges(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def words(texts: pa.Array, fold_case: bool = True, chunk: int = CHUNK) -> Iterator[Words]:
-    """Words of each text, a bounded number of bytes at a time. Nulls have no words."""
+def words(texts: pa.Array, fold_case: bool = True, chunk: int = CHUNK, letters: np.ndarray = _IS_WORD) -> Iterator[Words]:
+    """Words of each text, a bounded number of bytes at a time: runs of the bytes in ``letters``. Nulls have no words."""
     raw, offsets = byte_ranges(texts)
     table = _BYTE_FOLDED if fold_case else _BYTE
     for lo, hi in slices(np.diff(offsets), chunk):
@@ -86,7 +86,7 @@ def words(texts: pa.Array, fold_case: bool = True, chunk: int = CHUNK) -> Iterat
             e = np.empty(0, np.int64)
             yield Words(lo, hi - lo, e, np.empty(0, np.uint64), np.zeros(hi - lo + 1, np.int64), e, e, data, off)
             continue
-        inside = _IS_WORD[data]
+        inside = letters[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[off] = True
         before = np.zeros(n, dtype=bool)

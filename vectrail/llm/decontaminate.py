@@ -2,8 +2,8 @@
 
 The benchmark is normalised to words of letters and digits. Each of its n-grams is a seed; how rare a seed is
 by chance comes from the corpus frequencies of its words, counted over all documents: a seed is used if its
-expected number of chance occurrences in a million corpus tokens is at most ``chance``. An item all of whose
-n-grams are common keeps its rarest ones. How often a seed really occurs doesn't matter, so a test item that
+expected number of chance occurrences in a million corpus tokens is at most ``chance``. An item with fewer than
+``least_seeds`` of them is searched by all its n-grams, common ones too. How often a seed really occurs doesn't matter, so a test item that
 was copied into very many documents stays detectable. Documents are joined with the seeds by hash; around the
 places of an item's seeds the document's words are aligned locally with the item's words, and the score is the
 alignment's share of a perfect match.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import mix, pair_hash
+from .arrowtext import mix, pair_hash, words
 from .common import append_arrow
 
 _U = np.uint64
@@ -40,7 +40,7 @@ _WORD = re.compile(r"[^\W_]+")
 class Settings:
     seed_words: int = 3
     chance: float = 2.0  # expected chance occurrences of a seed in a million tokens
-    least_seeds: int = 8  # an item keeps at least so many of its seeds, the rarest
+    least_seeds: int = 8  # an item with fewer rare seeds is searched by all its n-grams
     match: float = 1.0
     mismatch: float = -0.6
     gap: float = -0.6
@@ -49,16 +49,47 @@ class Settings:
 
 
 def split_words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return [w.lower() for w in _WORD.findall(text)] if text else []
 
 
 def _hash_words(found: list[str]) -> np.ndarray:
     """64-bit word hashes. Python's own hash differs between processes, so the bytes are hashed by the batch."""
-    from .arrowtext import words
-
     if not found:
         return np.empty(0, np.uint64)
-    return np.concatenate([w.hash for w in words(pa.array([" ".join(found)]), fold_case=False)])
+    return np.concatenate([w.hash for w in words(pa.array([" ".join(found)], pa.large_string()), fold_case=False)])
+
+
+#: Bytes of words: ASCII letters and digits, and all beyond ASCII; runs with the latter are split further as text.
+_RUN = np.zeros(256, dtype=bool)
+_RUN[48:58] = _RUN[65:91] = _RUN[97:123] = _RUN[128:] = True
+#: Runs beyond ASCII whose hashes are kept at a time.
+_KEPT = 1 << 16
+
+
+def hashed_texts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first document, word hashes, bounds of each document's words) of a column: the words of ``split_words``."""
+    known: dict[bytes, np.ndarray] = {}
+    for w in words(texts, letters=_RUN):
+        hashes, bounds = w.hash, w.bounds
+        beyond = np.flatnonzero(np.add.reduceat(w.data >> 7, w.start, dtype=np.int64)) if len(w.start) else w.start
+        if len(beyond):
+            parts = []
+            for lo, hi in zip(w.start[beyond].tolist(), w.end[beyond].tolist(), strict=True):
+                run = w.data[lo:hi].tobytes()
+                if (h := known.get(run)) is None:
+                    if len(known) >= _KEPT:
+                        known.clear()
+                    h = known[run] = _hash_words(split_words(run.decode()))
+                parts.append(h)
+            n = np.ones(len(hashes), np.int64)
+            n[beyond] = [len(h) for h in parts]
+            own = np.zeros(len(hashes), dtype=bool)
+            own[beyond] = True
+            spread = np.repeat(own, n)
+            out = np.repeat(hashes, n)
+            out[spread] = np.concatenate(parts)
+            hashes, bounds = out, np.append(0, np.cumsum(n))[bounds]
+        yield w.first, hashes, bounds
 
 
 def _ngrams(h: np.ndarray, n: int) -> np.ndarray:
@@ -118,7 +149,8 @@ class Index:
             n = min(s.seed_words, len(found))
             expected = 1e6 * np.array([np.prod(p[i : i + n]) for i in range(len(grams))])
             order = np.argsort(expected, kind="stable")
-            used = order[: max(s.least_seeds, int((expected <= s.chance).sum()))]
+            rare = int((expected <= s.chance).sum())
+            used = order[:rare] if rare >= s.least_seeds else order
             seeds.append(grams[used])
             owner.append(np.full(len(used), len(self.ids)))
             place.append(used)
@@ -130,12 +162,10 @@ class Index:
         self.seeds, self.owner, self.place = seeds[order], owner[order], place[order]
         self.lengths = sorted({min(s.seed_words, len(w)) for w in self.words})
 
-    def find(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
-        """(item, score, first word, end word, seeds) of the items in a text."""
-        found = split_words(text)
-        if not found or not len(self.seeds):
+    def find(self, h: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+        """(item, score, first word, end word, seeds) of the items in a text, given its word hashes."""
+        if not len(h) or not len(self.seeds):
             return []
-        h = _hash_words(found)
         hits: dict[int, list[int]] = {}
         for n in self.lengths:
             if len(h) < n:
@@ -184,20 +214,17 @@ def _frequencies(docs: DataFrame, text: str, vocabulary: set[str]) -> dict[str,
     shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def run(batches):
-        from .arrowtext import words
-
         names = shared.value
-        keys = np.concatenate([w.hash for w in words(pa.array([" ".join(names)]), fold_case=True)]) if names else np.empty(0, np.uint64)
+        keys = _hash_words(names)
         order = np.argsort(keys)
         keys = keys[order]
         counts, total = np.zeros(len(names), np.int64), 0
         for b in batches:
-            # White-space words without the ASCII marks around them: a cheap stand-in of the same frequencies.
-            for w in words(b.column(0)):
-                total += len(w.hash)
-                at = np.searchsorted(keys, w.hash)
+            for _, h, _ in hashed_texts(b.column(0)):
+                total += len(h)
+                at = np.searchsorted(keys, h)
                 at[at == len(keys)] = 0
-                hit = at[keys[at] == w.hash] if len(keys) else at[:0]
+                hit = at[keys[at] == h] if len(keys) else at[:0]
                 counts += np.bincount(hit, minlength=len(names))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(order[at], -1)), pa.array(np.append(counts[at], total))], names=["word", "n"])
@@ -213,11 +240,12 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[i
     block, size = [], 0
     rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull()).orderBy("i", "t")
     for r in rows.toLocalIterator():
-        if block and size + len(r["t"]) > BROADCAST_BYTES:
+        n = len(r["t"].encode())
+        if block and size + n > BROADCAST_BYTES:
             yield block
             block, size = [], 0
         block.append((r["i"], r["t"]))
-        size += len(r["t"])
+        size += n
     yield block
 
 
@@ -241,8 +269,9 @@ def _scan(rows: DataFrame, shared) -> DataFrame:
         index = shared.value
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
-            for i, t in zip(ids, b.column(1), strict=True):
-                out += [(i, *x) for x in index.find(t.as_py())]
+            for first, h, bounds in hashed_texts(b.column(1)):
+                for k, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), first):
+                    out += [(ids[k], *x) for x in index.find(h[lo:hi])]
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "begin", "end", "n_seeds"])
@@ -270,6 +299,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 def _unmatched(docs: DataFrame, text: str, shared) -> DataFrame:
     def make():
         index = shared.value
-        return lambda texts: [pa.array([bool(index.find(t.as_py())) for t in texts], pa.bool_())]
+
+        def fn(texts: pa.Array) -> list[pa.Array]:
+            return [pa.array([bool(index.find(h[lo:hi])) for _, h, bounds in hashed_texts(texts) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.bool_())]
+
+        return fn
 
     return append_arrow(docs, text, [T.StructField("__leak", T.BooleanType())], make).where(~F.col("__leak")).drop("__leak")
