@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -21,21 +22,42 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 _own: dict[str, str] = {}
+_scratch: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset a local master gets a temporary one; a cluster is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="vectrail-shared-")
-        atexit.register(shutil.rmtree, _own[app].removeprefix("file://"), ignore_errors=True)
-    return _own[app]
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="vectrail-shared-")
+        atexit.register(shutil.rmtree, _own[sc.applicationId].removeprefix("file://"), ignore_errors=True)
+    return _own[sc.applicationId]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's own folder of the shared one; the folder is deleted when the driver's Python ends."""
+    own = f"{shared_dir(spark)}/vectrail-{spark.sparkContext.applicationId}"
+    if own not in _scratch:
+        _scratch[own] = spark
+        atexit.register(_leave, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _leave(own: str) -> None:
+    try:
+        delete(_scratch.pop(own), own)
+    except Exception as e:  # the JVM may be gone by then
+        print(f"{own} is left behind: {type(e).__name__}", file=sys.stderr)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +65,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete cuts that no plan reads any more."""
+    for df in cuts:
+        delete(df.sparkSession, df._cut_path)
 
 
 def local_path(uri: str) -> str:
@@ -83,9 +113,10 @@ def store_bytes(uri: str, data: bytes) -> None:
 
     store, inner = fs.FileSystem.from_uri(uri)
     store.create_dir(os.path.dirname(inner), recursive=True)
-    with store.open_output_stream(inner + ".part") as out:
+    part = f"{inner}.{uuid.uuid4().hex}"  # attempts don't meet
+    with store.open_output_stream(part) as out:
         out.write(data)
-    store.move(inner + ".part", inner)
+    store.move(part, inner)
 
 
 def fold(key: Column, n: int) -> Column:
