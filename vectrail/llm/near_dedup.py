@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import mix, pair_hash, words
-from .common import cut
+from .common import cut, release
 from .components import components
 
 _U = np.uint64
 #: Band keys are computed from this many throws at a time.
 _THROWS = 1 << 13
 #: Members of a bucket in a block, about, and bytes of their sets. A task compares two blocks.
-BLOCK, BLOCK_BYTES = 1024, 64 << 20
+BLOCK, BLOCK_BYTES = 512, 64 << 20
 
 
 def shingle_hashes(w_hash: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
@@ -149,23 +149,23 @@ def _labelled(rows: DataFrame, comp: DataFrame, column: str = "id", name: str =
     return rows.join(own, column, "left").select(*rows.columns, F.coalesce("__c", column).alias(name))
 
 
-def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """(bucket, id, comp, main, queries, blocks) of buckets of three members or more with several components.
+def _apart(labelled: DataFrame) -> DataFrame:
+    """(bucket, id, comp, main, kq, km) of buckets of three members or more with several components.
 
     ``main`` is the bucket's largest component. Its members needn't be compared with each other, so the
     others are the bucket's queries. Buckets of the same members (other bands of one group) are kept once.
+    Members are reduced to a row for each component in their tasks first, and the join with the open buckets
+    can be split where a bucket is large.
     """
-    rows = cut(_labelled(members, comp), "labelled")
-    marks = [F.count("*").alias("m"), F.sum("n").alias("items"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(3))).alias("x2")]
-    open_ = rows.groupBy("bucket").agg(*marks).where((F.col("m") > 2) & (F.col("lo") < F.col("hi")))
-    once = open_.groupBy("m", "items", "x1", "x2").agg(F.min("bucket").alias("bucket"))
-    rows = cut(rows.join(once, "bucket"), "apart")
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c"))
+    own = [F.count("*").alias("c"), F.sum("n").alias("items"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(3))).alias("x2")]
+    parts = labelled.groupBy("bucket", "comp").agg(*own)
+    whole = [F.sum("c").alias("m"), F.sum("items").alias("items"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("main")]
+    open_ = parts.groupBy("bucket").agg(*whole).where((F.col("m") > 2) & (F.col("comps") > 1))
+    once = open_.groupBy("m", "items", "x1", "x2").agg(F.min(F.struct("bucket", "main")).alias("b"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     heavy = F.ceil(F.col("items") * 8 / F.lit(BLOCK_BYTES)).cast("int")
-    out = rows.join(largest, "bucket").select("bucket", "id", "comp", "main", blocks(F.col("m") - F.col("c")).alias("kq"), F.greatest(blocks(F.col("m")), heavy).alias("km"))
-    return out
+    once = once.select("b.bucket", F.col("b.main.comp").alias("main"), blocks(F.col("m") - F.col("b.main.c")).alias("kq"), F.greatest(blocks(F.col("m")), heavy).alias("km"))
+    return labelled.select("bucket", "id", "comp").join(once, "bucket")
 
 
 def _exhaustive(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,20 +233,22 @@ def intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _by_size(members: DataFrame, percent: int) -> DataFrame:
-    """(bucket, id, n, center): buckets split wherever their sets' sizes leave a gap that no link can bridge.
+def _members(reps: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id, n, center) of the buckets with two members or more, from (id, n, keys).
 
-    The gaps are found among a bucket's size classes, one row each, not among its members. Parts of one
-    member are gone.
+    A bucket is a band key, split wherever its sets' sizes leave a gap that no link can bridge; its center is its
+    smallest id. Gaps and centers are found among a bucket's size classes, one row each and pre-aggregated in
+    the tasks, not among its members, and the join with these can be split where a bucket is large.
     """
-    members = members.withColumn("k", F.floor(F.ln("n") / F.lit(0.05)).cast("int"))
-    classes = members.groupBy("bucket", "k").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    dealt = reps.select("id", "n", F.floor(F.ln("n") / F.lit(0.05)).cast("int").alias("k"), F.explode("keys").alias("bucket"))
+    classes = dealt.groupBy("bucket", "k").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("id").alias("first"), F.max("id").alias("last"))
     order = Window.partitionBy("bucket").orderBy("k")
     gap = F.when(100 * F.lag("hi").over(order) < percent * F.col("lo"), 1).otherwise(0)
-    parts = classes.withColumn("gap", gap).withColumn("part", F.sum("gap").over(order)).select("bucket", "k", "part")
-    split = members.join(parts, ["bucket", "k"]).select(F.xxhash64("bucket", "part").alias("bucket"), "id", "n")
-    shared = split.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("hi")).where(F.col("center") < F.col("hi")).drop("hi")
-    return split.join(shared, "bucket").select("bucket", "id", "n", "center")
+    parts = classes.withColumn("gap", gap).withColumn("part", F.sum("gap").over(order))
+    part = Window.partitionBy("bucket", "part")
+    parts = parts.select("bucket", "k", "part", F.min("first").over(part).alias("center"), F.max("last").over(part).alias("last")).where(F.col("center") < F.col("last"))
+    parts = parts.select("bucket", "k", F.xxhash64("bucket", "part").alias("name"), "center")
+    return dealt.join(parts, ["bucket", "k"]).select(F.col("name").alias("bucket"), "id", "n", "center")
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
@@ -259,14 +261,12 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # Rows of one set have the same keys: tasks reduce a class to one row before the shuffle.
     classes = cut(named.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
     reps = classes.select(F.col("rep").alias("id"), "n", "keys")
-    classes = classes.select("set_hash", "rep")
-    dealt = reps.select("id", "n", F.explode("keys").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("__hi")).where(F.col("center") < F.col("__hi")).drop("__hi")
-    members = cut(_by_size(cut(dealt.join(shared, "bucket").select("bucket", "id", "n"), "buckets"), percent), "members")
+    of_set = classes.select("set_hash", "rep")
+    members = cut(_members(reps, percent), "members")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     # An id of several texts is one document: it links their classes.
     several = named.groupBy("id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where(F.col("lo") < F.col("hi")).select("id")
-    same = named.join(several, "id").join(classes, "set_hash").select(F.col("id").alias("a"), F.col("rep").alias("b")).where(F.col("a") != F.col("b"))
+    same = named.join(several, "id").join(of_set, "set_hash").select(F.col("id").alias("a"), F.col("rep").alias("b")).where(F.col("a") != F.col("b"))
     # First each document with the smallest of its buckets' centers: one pair for each document. A document that
     # is the smallest of all its buckets is in no such pair, but later steps compare it: every member has its set.
     least = cut(members.groupBy("id").agg(F.min("center").alias("b")), "pairs")
@@ -276,19 +276,21 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # Then with the other centers, where these aren't known to belong together: by a link, or by a link of the link.
     near = links.groupBy("a").agg(F.min("b").alias("b"))
     comp = near.join(near.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("component"))
-    comp = cut(comp, "near-labels")
     others = members.select(F.col("id").alias("a"), F.col("center").alias("b"), "n").where(F.col("a") != F.col("b")).distinct().join(first, ["a", "b"], "left_anti")
     others = _labelled(_labelled(others, comp, "a", "ca"), comp, "b", "cb").where(F.col("ca") != F.col("cb"))
     sizes = reps.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).select(F.col("id").alias("b"), "lo", "hi")
     others = others.join(sizes, "b").where((100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n")))
-    links = cut(links.unionByName(verified(others.select("a", "b").distinct(), sets, percent)), "more-links")
-    comp = components(links)
+    comp = components(links.unionByName(verified(others.select("a", "b").distinct(), sets, percent)))
     # What is still apart within a bucket is compared exhaustively; its links join whole components.
-    apart = cut(_apart(members.select("bucket", "id", "n"), comp), "apart-blocks")
-    found = _exhaustive(apart, sets.join(apart.select("id").distinct(), "id", "left_semi"), percent)
-    joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    comp = _labelled(comp, joined.withColumnRenamed("component", "whole"), "component", "final", "whole").select("node", F.col("final").alias("component")).unionByName(joined.join(comp, "node", "left_anti"))
-    out = sk.join(classes, "set_hash", "left").select("id", "set_hash", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep"))
+    labelled = cut(_labelled(members.select("bucket", "id", "n"), comp), "labelled")
+    apart = cut(_apart(labelled), "apart")
+    release(members, least, links, labelled)
+    if not apart.isEmpty():
+        found = _exhaustive(apart, sets.join(apart.select("id").distinct(), "id", "left_semi"), percent)
+        joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        comp = _labelled(comp, joined.withColumnRenamed("component", "whole"), "component", "final", "whole").select("node", F.col("final").alias("component")).unionByName(joined.join(comp, "node", "left_anti"))
+    release(sets, apart)
+    out = sk.join(of_set, "set_hash", "left").select("id", "set_hash", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep"))
     return out.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
@@ -298,7 +300,6 @@ BROADCAST_IDS = 1_000_000
 
 def _sets_of(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(id, items): sets are made anew from the texts of those that need them; an id of several texts has several."""
-    ids = cut(ids, "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return shingle_sets(texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), shingle)
 
