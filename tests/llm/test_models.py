@@ -1,5 +1,6 @@
 """HTML extraction, Kneser-Ney, quality kNN, and the queries and pipeline as a whole."""
 
+import hashlib
 import os
 import random
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectrail.llm import html_blocks, html_extract, kneser_ney, quality_knn, queries
+from vectrail.llm import html_blocks, html_extract, kneser_ney, language_id, mixing, quality_knn, queries
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string"
@@ -83,6 +84,26 @@ def test_gradient():
         assert grad[k][at] == pytest.approx((up - down) / (2 * e), rel=0.05, abs=2e-3)
 
 
+def test_labels_in_plain_steps(labeller):
+    """The padded batches of both directions against one page and one step at a time."""
+    pages, _ = html_extract.labelled_pages(6, 77)
+    x, w, h = html_extract.features(pages), labeller.w, labeller.h
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    at = 0
+    for page, got in zip(pages, labeller.label(pages), strict=True):
+        rows = x[at : at + len(page)].astype(np.float64)
+        at += len(page)
+        states = {}
+        for k, order in (("f", range(len(rows))), ("b", range(len(rows) - 1, -1, -1))):
+            s, c, states[k] = np.zeros(h), np.zeros(h), {}
+            for i in order:
+                a = rows[i] @ w[f"x{k}"] + w[f"b{k}"] + s @ w[f"h{k}"]
+                c = sig(a[h : 2 * h]) * c + sig(a[:h]) * np.tanh(a[3 * h :])
+                s = states[k][i] = sig(a[2 * h : 3 * h]) * np.tanh(c)
+        z = np.array([np.concatenate([states["f"][i], states["b"][i]]) @ w["o"] + w["c"][0] for i in range(len(rows))])
+        assert all(g == (v > 0) for g, v in zip(got, z, strict=True) if abs(v) > 1e-3)
+
+
 def test_extract(spark):
     p = "Some words of the article that are long enough to be read as prose."
     page = f'<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav><article><h1>Title here</h1><p>{p}</p><p>{p}</article><div class="ad">Buy now</div><section class="comments"><h3>Comments</h3><div class="comment"><p>Great post, thanks</p></div></section><footer>&copy; site</footer></body></html>'
@@ -174,10 +195,27 @@ def test_quality_knn(spark):
         near = sorted(range(len(c)), key=lambda i: (-round(c[i], 9), i))[: model.settings.neighbours]
         w = np.maximum(c[near], 1e-6) ** model.settings.power
         assert s == pytest.approx((w * model.labels[near]).sum() / w.sum())
+    # The whole way of a text in plain steps: its weights, the axes, all cosines, the vote.
+    row = quality_knn.term_counts(np.frombuffer(b"abc DEF *** gh", np.uint8), model.settings.buckets)
+    x = np.log1p(row) * model.idf
+    z = (x / np.linalg.norm(x)) @ model.axes
+    c = np.array([z @ v / np.linalg.norm(z) for v in model.vectors.T])
+    near = sorted(range(len(c)), key=lambda i: (-round(c[i], 9), i))[: model.settings.neighbours]
+    w = np.maximum(c[near], 1e-6) ** model.settings.power
+    assert model.scores(quality_knn.pa.array(["abc DEF *** gh"]))[0] == pytest.approx((w * model.labels[near]).sum() / w.sum())
     none = quality_knn.fit(df, labels.limit(0))
     assert {x["score"] for x in quality_knn.score(df.limit(3), none).collect()} == {0.5}
 
 
+def test_equal_cosines_go_to_the_earlier_rows():
+    for m in (60, 350, 1000):
+        c = np.full((2, m), 0.5)
+        c[0, 7] = c[1, m - 1] = 0.9
+        c[1, :40] = 0.1
+        want = [[7, *[i for i in range(m) if i != 7][:24]], [m - 1, *([*range(40, m - 1), *range(40)][:24])]]
+        assert quality_knn.nearest(c, 25).tolist() == want
+
+
 @data
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries(spark, name):
@@ -198,7 +236,7 @@ def test_queries(spark, name):
 def test_pipeline(spark):
     """Each stage against a plain reading of what it decides."""
     import corpus_pipeline as pipeline
-    from test_pairs import plain_components
+    from test_pairs import plain_components, plain_mix
     from test_text_ops import plain_line_dedup
 
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
@@ -209,7 +247,14 @@ def test_pipeline(spark):
         if name != "mix":
             assert after.columns == columns and {r["doc_id"] for r in b} <= {r["doc_id"] for r in a}
         if name == "language_id":
-            assert len(b) >= 0.99 * len(a)
+            model = language_id.fit(before.select("doc_id", "text", "lang"))
+            known = [(r["doc_id"], r["text"]) for r in a if any(map(str.isalpha, r["text"] or "")) and model.scores(r["text"])[1] >= 0.3]
+            assert len(model.labels) == 4 and sorted((r["doc_id"], r["text"]) for r in b) == sorted(known) and len(b) >= 0.99 * len(a)
+        elif name == "mix":
+            t = mixing.Targets(budget=1.0)
+            leaf = lambda r: (f"d{int(hashlib.md5((r['source'] or '(null)').encode()).hexdigest()[:8], 16) % 4}", r["lang"] or "(null)", r["source"] or "(null)")
+            want = plain_mix([(r["doc_id"], len((r["text"] or "").encode().split()), leaf(r)) for r in a], t)
+            assert sorted((r["doc_id"], r["epoch"]) for r in b) == sorted(want)
         elif name == "line_dedup":
             want = plain_line_dedup([(r["doc_id"], r["text"]) for r in a])
             assert sorted((r["doc_id"], r["text"]) for r in b) == sorted((i, t) for i, t, *_ in want) and all(r["n_chars"] == len(r["text"]) for r in b)

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,43 @@ def test_alignment():
         assert got == 0 or plain_align(a, b[lo:hi], s) == pytest.approx(got)
 
 
+def test_words_are_counted_alike(spark):
+    """Corpus frequencies of the words that items are split into, without the marks around them."""
+    texts = ["the end. The end. ÉTÉ end", "\u201cEnd\u201d of_the été!", None, "", "straße STRASSE ǅ x²y"]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    every = [w for t in texts for w in decontaminate.split_words(t)]
+    assert decontaminate._frequencies(df, "text", set(every)) == {w: every.count(w) / len(every) for w in every}
+    r = random.Random(5)
+    more = ["".join(r.choices("abZ9é_.’ß \nΣ", k=r.randint(0, 40))) for _ in range(300)]
+    for first, h, bounds in decontaminate.hashed_texts(pa.array(more)):
+        for t, lo, hi in zip(more[first:], bounds[:-1], bounds[1:], strict=True):
+            assert h[lo:hi].tolist() == decontaminate._hash_words(decontaminate.split_words(t)).tolist()
+
+
+def test_decontaminate_against_all_alignments(spark):
+    """Every item aligned with every whole document: all that scores well is found, and nothing else."""
+    s, r = decontaminate.Settings(), random.Random(21)
+    prose = lambda n: [f"w{r.randint(0, 3000)}" for _ in range(n)]
+    items = [prose(r.randint(6, 25)) for _ in range(12)] + [["of", "the", "of", "a", "the", "a", "of"]]
+    docs = [prose(60) for _ in range(40)]
+    for k in range(60):
+        w = list(r.choice(items))
+        for _ in range(r.randint(0, len(w) // 4)):
+            w[r.randrange(len(w))] = "edit"
+        docs.append(prose(r.randint(0, 30)) + w + prose(r.randint(0, 30)))
+    docs += [["of", "the", "a"] * 30] * 5
+    text = lambda x: [(i, " ".join(w)) for i, w in enumerate(x)]
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.contaminated(spark.createDataFrame(text(docs), SCHEMA), spark.createDataFrame(text(items), "item_id long, text string")).collect()}
+    for i, d in enumerate(docs):
+        for j, item in enumerate(items):
+            codes = {w: n for n, w in enumerate({*d, *item})}
+            best = decontaminate.align(np.array([codes[w] for w in item]), np.array([codes[w] for w in d]), s)[0] / len(item)
+            if best >= 0.6:
+                assert (i, j) in got
+            if (i, j) in got:
+                assert best >= got[i, j] - 1e-6 >= s.threshold - 2e-6
+
+
 def test_decontaminate(spark):
     r = random.Random(7)
     vocabulary = [f"word{i}" for i in range(800)] + ["the", "of", "and"] * 120
@@ -208,29 +246,80 @@ def test_budgets_fill_the_tree(spark):
     assert by["books"][0] == pytest.approx(min(by["books"][1], 0.75 * total * 0.9), abs=9)
 
 
-def test_mix_against_a_plain_version(spark):
+def plain_shares(budget, children):
+    """{name: share} of children {name: (weight, capacity)}: full ones are taken out one after the other."""
+    left, out = {k: v for k, v in children.items() if v[0] > 0}, dict.fromkeys(children, 0.0)
+    while left:
+        total = sum(w for w, _ in left.values())
+        full = [k for k, (w, c) in left.items() if c <= budget * w / total]
+        for k in full or left:
+            out[k] = left[k][1] if full else budget * left[k][0] / total
+        if not full:
+            break
+        budget -= sum(left.pop(k)[1] for k in full)
+    return out
+
+
+def plain_mix(rows, t):
+    """(id, epoch) of rows (id, tokens, leaf), from the definition: shares down the tree, then seeded epochs."""
     import hashlib
 
-    rows, df = mix_rows(spark)
-    small = df.select("domain", F.coalesce("lang", F.lit("(null)")).alias("lang"), F.coalesce("source", F.lit("(null)")).alias("source"), mixing.n_words(F.col("text")).alias("tokens"))
+    tokens = defaultdict(int)
+    for _, n, leaf in rows:
+        tokens[leaf] += n
+    weights = (t.domains, t.languages, t.sources)
+    weight = lambda leaf: [w.get(x, 1.0) for w, x in zip(weights, leaf, strict=True)]
+    usable = {leaf: n * float(t.max_epochs) if all(weight(leaf)) else 0.0 for leaf, n in tokens.items()}
+
+    def flow(budget, prefix):
+        depth = len(prefix)
+        if depth == 3:
+            return {prefix: int(round(budget, 3))}
+        below = defaultdict(float)
+        for leaf, c in usable.items():
+            if leaf[:depth] == prefix:
+                below[leaf[depth]] += c
+        shares = plain_shares(budget, {x: (weights[depth].get(x, 1.0) if c else 0.0, c) for x, c in below.items()})
+        return {k: v for x, s in shares.items() for k, v in flow(s, (*prefix, x)).items()}
+
     want = []
-    for leaf in mixing.leaf_budgets(small, T).collect():
-        own = [(i, len(t.split())) for i, t, lang, source, d in rows if (d, lang or "(null)", source or "(null)") == (leaf["domain"], leaf["lang"], leaf["source"])]
-        if not leaf["tokens"] or leaf["budget"] <= 0:
+    for leaf, budget in flow(float(int(sum(tokens.values()) * t.budget)), ()).items():
+        if not tokens[leaf] or budget <= 0:
             continue
-        whole, rest = divmod(leaf["budget"], leaf["tokens"])
+        own = [(i, n) for i, n, x in rows if x == leaf]
+        whole, rest = divmod(budget, tokens[leaf])
         want += [(i, e) for i, _ in own for e in range(whole)]
         upto = 0
-        for i, n in sorted(own, key=lambda x: (hashlib.md5(f"{T.seed}:{whole}:{x[0]}".encode()).hexdigest(), str(x[0]))):
+        for i, n in sorted(own, key=lambda x: (hashlib.md5(f"{t.seed}:{whole}:{x[0]}".encode()).hexdigest(), str(x[0]))):
             upto += n
             if upto > rest:
                 break
             want.append((i, whole))
-    got = mixing.mix(df, T)
+    return want
+
+
+@pytest.mark.parametrize("targets", [T, mixing.Targets(domains={"web": 1.0, "books": 2.0}, languages={"en": 0.0}, sources={"b": 0.0, "a": 3.0}, budget=0.7, range_rows=7)])
+def test_mix_against_a_plain_version(spark, targets):
+    rows, df = mix_rows(spark)
+    want = plain_mix([(i, len(t.split()), (d, lang or "(null)", source or "(null)")) for i, t, lang, source, d in rows], targets)
+    got = mixing.mix(df, targets)
     assert sorted((r["doc_id"], r["epoch"]) for r in got.collect()) == sorted(want)
     assert set(got.columns) == {"doc_id", "text", "lang", "source", "domain", "n_tokens", "epoch"}
 
 
+def test_weights_of_nothing(spark):
+    """What a child of weight 0 can't use goes to the others: the usable budget is handed out whole."""
+    rows = [(i, "w " * 2, "en", s, d) for i in range(12) for s, d in [("a", "x")] * (i < 3) + [("b", "x")] * (3 <= i < 9) + [("a", "y")] * (i >= 9)]
+    df = spark.createDataFrame(rows, SCHEMA + ", lang string, source string, domain string")
+    small = df.select("domain", "lang", "source", mixing.n_words(F.col("text")).alias("tokens"))
+    t = mixing.Targets(sources={"b": 0.0}, budget=0.75, max_epochs=3)
+    leaves = {(r["domain"], r["source"]): r["budget"] for r in mixing.leaf_budgets(small, t).collect()}
+    assert leaves == {("x", "a"): 9, ("y", "a"): 9}
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="weights"):
+            mixing.Targets(domains={"x": bad})
+
+
 def test_mix_edges(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA + ", lang string, source string")).count() == 0
     df = spark.createDataFrame([(1, None, None, None), (1, None, None, None), (2, "", "en", "s")], SCHEMA + ", lang string, source string")

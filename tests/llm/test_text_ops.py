@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -77,14 +78,30 @@ def test_token_counts_are_the_library_s(spark):
     assert token_counts.count_tokens(df.limit(0), "byte_bpe_50k.json").count() == 0
 
 
+def plain_ngrams(text, orders):
+    """Counts of the n-grams themselves: letters in lower case, each run of other characters as one space."""
+    out, low = [], text.lower()
+    for i, c in enumerate(low):
+        if c.isalpha() or i == 0 or low[i - 1].isalpha():
+            out.append(c if c.isalpha() else " ")
+    whole = "".join(out)
+    return Counter(whole[i : i + n] for n in orders for i in range(len(whole) - n + 1) if n > 1 or whole[i] != " ")
+
+
 def test_ngrams_of_blocks_are_those_of_the_whole(monkeypatch):
-    text = "Abc déf, ghi! " * 50
-    whole = language_id.ngram_counts(text, (1, 2, 3), 1 << 10)
-    assert language_id.ngram_counts("12 ... !", (1, 2), 64) is None and whole.sum() > 0
-    monkeypatch.setattr(language_id, "_BLOCK", 37)
-    parts = language_id.ngram_counts("abcdefghij" * 30, (1, 2, 3), 1 << 10)
+    assert language_id.ngram_counts("12 ... !", (1, 2), 64) is None
+    r = random.Random(4)
+    for _ in range(60):
+        text = "".join(r.choices("abé ß  ..\n1", k=r.randint(1, 200)))
+        want = sorted(plain_ngrams(text, (1, 2, 3)).values())
+        for block in (1, 2, 3, 7, 1 << 18):
+            monkeypatch.setattr(language_id, "_BLOCK", block)
+            got = language_id.ngram_counts(text, (1, 2, 3), 1 << 22)
+            assert got is None if not any(map(str.isalpha, text)) else sorted(got[got > 0].tolist()) == want
     monkeypatch.setattr(language_id, "_BLOCK", 1 << 18)
-    assert (parts == language_id.ngram_counts("abcdefghij" * 30, (1, 2, 3), 1 << 10)).all()
+    tail = "the end of  a very long text, with  wide spaces "
+    wide = language_id.ngram_counts("a" * (1 << 18) + " ".join(tail), (1, 2, 3), 1 << 14)
+    assert (wide == language_id.ngram_counts("a" * (1 << 18) + "   ".join(tail), (1, 2, 3), 1 << 14)).all()
 
 
 LANGS = {"en": "the and of that is was with for", "de": "der die und ist nicht ein von zu", "fr": "le la des est une pour dans et"}
@@ -108,6 +125,17 @@ def test_language_id(spark):
     again = language_id.fit(df.where(~held))
     assert (again.weights == model.weights).all() and again.temperature == model.temperature and (model.weights == 0).mean() > 0.5
     kept = language_id.keep_known(df, model)
+    with pytest.raises(ValueError, match="labels"):
+        language_id.fit(df.where(~held), settings=language_id.Settings(max_labels=2))
+    # The prediction is the softmax of the weights of the text's own n-grams, in plain steps.
+    text = "Die   und, the der"
+    counts = language_id.ngram_counts(text, (1, 2, 3), model.settings.buckets)
+    own = {b: math.log1p(n) * model.idf[b] for b, n in enumerate(counts.tolist()) if n}
+    size = math.sqrt(sum(v * v for v in own.values()))
+    z = [(sum(v / size * w[b] for b, v in own.items()) + bias) / model.temperature for w, bias in zip(model.weights, model.bias, strict=True)]
+    p = [math.exp(v - max(z)) for v in z]
+    lang, score = model.scores(text)
+    assert score == pytest.approx(max(p) / sum(p)) and lang == model.labels[int(np.argmax(z))]
     assert kept.columns == df.columns and {9001, 9002}.isdisjoint(r["doc_id"] for r in kept.collect())
     empty = language_id.fit(df.limit(0))
     assert {r["lang_pred"] for r in language_id.predict(df.limit(5), empty).collect()} == {"und"}
@@ -121,6 +149,9 @@ def test_binomial_tail(spark):
     df = spark.createDataFrame(cases, "n long, k long").withColumn("p", quality_rules.binomial_tail(F.col("n"), F.col("k"), 0.01))
     for r in df.collect():
         assert r["p"] == pytest.approx(exact(r["n"], r["k"], 0.01), rel=1e-9)
+    large = spark.createDataFrame([(5_000_000, 49_500), (30_000_000, 299_000), (30_000_000, 300_000)], "n long, k long")
+    for r in large.withColumn("p", quality_rules.binomial_tail(F.col("n"), F.col("k"), 0.01)).collect():
+        assert r["p"] == pytest.approx(exact(r["n"], r["k"], 0.01), rel=1e-6)
 
 
 def plain_base(text):
