@@ -144,3 +144,67 @@ def test_graph_file_round_trip():
     for broken in (b"", b"X" * 64, data[:-3]):
         with pytest.raises(ValueError):
             graph_files.decode(broken)
+
+
+def plain_pack(text, size, overlap, separators):
+    """The published packing, in plain steps: split at the first separator, pack greedily, carry parts over."""
+    if len(text) <= size:
+        return [text]
+    if not separators:
+        return [text[i : i + size] for i in range(0, len(text), size)]
+    parts = text.split(separators[0]) if separators[0] else list(text)
+    groups, group = [], []
+    joined = lambda g: separators[0].join(g)
+    for part in parts:
+        if len(part) > size:
+            if group:
+                groups.append(joined(group))
+            group = []
+            groups += plain_pack(part, size, overlap, separators[1:])
+        elif group and len(joined([*group, part])) > size:
+            groups.append(joined(group))
+            carried = []
+            while len(carried) < len(group) and sum(len(x) + len(separators[0]) for x in carried) + len(group[-1 - len(carried)]) <= overlap:
+                carried = group[len(group) - len(carried) - 1 :]
+            group = [*carried, part]
+        else:
+            group.append(part)
+    return [*groups, joined(group)] if group else groups
+
+
+def test_recursive_chunks_against_plain_packing(spark):
+    import random
+
+    r = random.Random(8)
+    texts = ["".join(r.choices(["a", "bb ", "ccc", " ", "\n", "\n\n", "dddddd"], k=r.randint(0, 120))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "doc_id long, text string")
+    got = {}
+    for x in chunking.Recursive(20, 7).chunk(docs).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(x["doc_id"], []).append(x["chunk"])
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == plain_pack(t, 20, 7, ("\n\n", "\n", " ", "")), t
+    assert 999 not in got
+
+
+def test_semantic_chunks_of_rows_that_share_an_id(spark):
+    text = "Red apples grow. Red apples fall. Blue whales swim."
+    docs = spark.createDataFrame([(1, text, "x"), (1, text, "y"), (2, None, "z"), (3, "", "z")], "doc_id long, text string, k string")
+    got = sorted((r["k"], r["chunk_index"], r["chunk"]) for r in chunking.Semantic(embedders.FeatureHash(256), 0.4).chunk(docs).collect())
+    assert got == [(k, i, c) for k in "xy" for i, c in enumerate(["Red apples grow. Red apples fall.", "Blue whales swim."])]
+
+
+def test_gaussian_vectors_in_plain_steps(spark):
+    import hashlib
+
+    import numpy as np
+
+    texts = ["Alpha beta, alpha!", "", None, "!!", "beta"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in embedders.Gaussian(16).embed(rows, "text", ["doc_id"]).collect():
+        total = np.zeros(16)
+        for w in (texts[r["doc_id"]] or "").split():
+            clean = "".join(c for c in w.lower() if c.isalnum())
+            if clean:
+                total += np.random.default_rng(int(hashlib.sha256(clean.encode()).hexdigest()[:8], 16)).standard_normal(16)
+        n = np.sqrt((total**2).sum())
+        assert r["embedding"] == pytest.approx((total / n if n else total).tolist(), abs=1e-6)

@@ -74,6 +74,52 @@ def test_ordinals_over_many_ranges(spark):
     assert got == list(range(5, 1005))
 
 
+def test_thousands_of_ranges(spark):
+    rows = spark.range(0, 20_000).select((F.col("id") * 7919 % 20_011).alias("k"))
+    got = [r["ordinal"] for r in segments.ordinals(rows, "k", per_range=4).orderBy("k").collect()]  # 5000 ranges
+    assert got == list(range(20_000))
+    cuts = list(range(0, 50_000, 10))
+    places = spark.createDataFrame([(x,) for x in (-1, 0, 1, 10, 11, 49_990, 49_991)], "x long").select(segments.range_of(F.col("x"), cuts, "bigint").alias("n"))
+    assert [r["n"] for r in places.collect()] == [0, 0, 1, 1, 2, 4999, 5000]
+    halves = spark.createDataFrame([(i / 2,) for i in range(300)], "k double")
+    assert [r["ordinal"] for r in segments.ordinals(halves, "k", per_range=20).orderBy("k").collect()] == list(range(300))
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_vectors_that_are_no_neighbours(spark, data, metric):
+    """Null, short, empty vectors, and those with a null or NaN within, in rows and in queries."""
+    good = [(i, data[i].tolist(), 1) for i in range(30)]
+    hole = [float(x) for x in data[0]]
+    bad = [(100, None, 1), (101, hole[:63], 1), (102, [], 1), (103, [None, *hole[1:]], 1), (104, [float("nan"), *hole[1:]], 1)]
+    rows = spark.createDataFrame(good + bad, "vec_id long, embedding array<float>, status int")
+    q = data[3].tolist()
+    want = [(r["vec_id"], r["score"]) for r in exact.exact_topk(rows.where("vec_id < 100"), q, 50, metric).collect()]
+    assert len(want) == 30
+    for search in (exact.exact_topk, exact.blocked_topk):
+        assert [(r["vec_id"], pytest.approx(r["score"], abs=2e-6)) for r in search(rows, q, 50, metric).collect()] == want
+    queries = spark.createDataFrame([(1, q), (2, None), (3, q[:63]), (4, [None, *q[1:]])], "query_id long, query_vector array<float>")
+    got = exact.batch_knn(rows, queries, 50, metric).collect()
+    assert sorted({r["query_id"] for r in got}) == [1, 3] and [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 1] == [k for k, _ in want]
+    assert {r["vec_id"] for r in got if r["query_id"] == 3} == {101}
+    texts = spark.createDataFrame([(r[0], "alpha") for r in good + bad], "vec_id long, text string")
+    assert {r["vec_id"] for r in hybrid.hybrid_topk(rows, texts, q, "alpha", 50, metric=metric).collect()} == set(range(30))
+    placed = segments.assign(rows, "vec_id", 100)
+    assert {r["vec_id"] for r in hnsw.ann_topk(placed, hnsw.build_index(placed, metric), q, 50, metric, ef=64).collect()} == set(range(30))
+    assert exact.batch_knn(rows, queries.limit(0), 3).count() == 0
+
+
+def test_queries_in_parts(spark, data, monkeypatch):
+    rows = vectors(spark, data)
+    queries = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    whole = sorted(map(tuple, exact.batch_knn(rows, queries, 4, "l2").collect()))
+    monkeypatch.setattr(exact, "QUERY_BYTES", 8 * 64 * 3)
+    monkeypatch.setattr(exact, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, exact.batch_knn(rows, queries, 4, "l2").collect())) == whole and len(whole) == 80
+    ties = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(500)], "vec_id long, embedding array<float>")
+    one = spark.createDataFrame([(0, [2.0, 0.0])], "query_id long, query_vector array<float>")
+    assert [r["vec_id"] for r in exact.batch_knn(ties, one, 25).orderBy("rank").collect()] == list(range(25))
+
+
 def test_should_compact(spark):
     check = lambda sizes: segments.should_compact(spark.createDataFrame(list(enumerate(sizes)), "segment_id long, records long"), 10).first()["should_compact"]
     assert check([2, 3, 10]) and not check([2, 10]) and not check([2]) and not check([5, 5])
@@ -166,3 +212,107 @@ def test_delete_and_soft_delete(spark):
     every = {"documents": spark.createDataFrame([("a",), ("b",)], "id string"), "chunks": spark.createDataFrame([("a0", "a"), ("b0", "b")], "id string, document_id string"), "embeddings": spark.createDataFrame([("a0",), ("b0",)], "chunk_id string"), "metadata": spark.createDataFrame([("a", "a0"), ("b", "b0")], "document_id string, chunk_id string")}
     left = segments.delete_cascade(every, every["documents"].where("id = 'a'"))
     assert all(df.count() == 1 for df in left.values())
+
+
+def store_of(spark, tmp_path, x, capacity=50):
+    from vectrail.operators import lifecycle
+    from vectrail.sources.store import Store
+
+    s = Store(spark, f"file://{tmp_path}/c")
+    lifecycle.add_vectors(s, vectors(spark, x), capacity)
+    return s, lifecycle
+
+
+def test_sealed_segments_have_graphs(spark, data, tmp_path):
+    s, lifecycle = store_of(spark, tmp_path, data[:120])
+    assert {r[0] for r in s.read("graphs").select("segment_id").distinct().collect()} == {0, 1}
+    more = spark.createDataFrame([(i, data[i].tolist(), 1) for i in range(120, 160)], "vec_id long, embedding array<float>, status int")
+    lifecycle.add_vectors(s, more, 50)  # the growing segment fills up and is sealed
+    assert {r[0] for r in s.read("graphs").select("segment_id").distinct().collect()} == {0, 1, 2} and lifecycle.unindexed(s, 50).count() == 0
+    assert [(r["segment_id"], r["count"]) for r in s.read("vectors").groupBy("segment_id").count().orderBy("segment_id").collect()] == [(0, 50), (1, 50), (2, 50), (3, 10)]
+    q = data[7].tolist()
+    names = lifecycle.of_store(s, ef=50)
+    exact_rows, graph_rows = (names.get(n)(q, 10, None).collect() for n in ("EXACT", "HNSW"))
+    assert [r["vec_id"] for r in exact_rows] == [r["vec_id"] for r in graph_rows]
+    only = spark.createDataFrame([(i,) for i in range(40, 60)], "vec_id long")
+    assert {r["vec_id"] for r in names.get("hnsw")(q, 30, only).collect()} == set(range(40, 60))
+
+
+def test_compaction_redirects_and_rolls_back(spark, data, tmp_path, monkeypatch):
+    s, lifecycle = store_of(spark, tmp_path, data[:150])
+    assert not lifecycle.compact(s, 50)  # nothing to do
+    lifecycle.delete_vectors(s, spark.createDataFrame([(i,) for i in range(0, 100, 3)], "vec_id long"))
+    before = sorted(map(tuple, s.read("vectors").select("vec_id", "status", "segment_id", "vector_idx").collect()))
+    number = s.manifest()["number"]
+    with monkeypatch.context() as m, pytest.raises(ZeroDivisionError):
+        m.setattr(lifecycle.hnsw, "build_index", lambda *a: 1 / 0)
+        lifecycle.compact(s, 50)
+    assert s.manifest()["number"] == number and sorted(map(tuple, s.read("vectors").select("vec_id", "status", "segment_id", "vector_idx").collect())) == before
+    old = s.staged(s.read("vectors").where("status = 1").select("vec_id", "segment_id", "vector_idx"), "old")
+    assert lifecycle.compact(s, 50)
+    now = {r["vec_id"]: (r["segment_id"], r["vector_idx"]) for r in s.read("vectors").collect()}
+    live = [v for v, status, *_ in before if status == 1]
+    assert sorted(now) == live and {p[0] for p in now.values()} == {2, 3, 4}
+    assert {r[0] for r in s.read("graphs").select("segment_id").distinct().collect()} == {2, 3}
+    assert {r["vec_id"]: (r["segment_id"], r["vector_idx"]) for r in lifecycle.redirected(s, old).collect()} == now
+    q = data[8].tolist()
+    names = lifecycle.of_store(s, ef=50)
+    assert [r["vec_id"] for r in names.get("EXACT")(q, 8, None).collect()] == [r["vec_id"] for r in names.get("HNSW")(q, 8, None).collect()]
+    # A second compaction: redirects of the first lead on.
+    lifecycle.delete_vectors(s, spark.createDataFrame([(i,) for i in range(100, 150)], "vec_id long"))
+    assert lifecycle.compact(s, 50)
+    now = {r["vec_id"]: (r["segment_id"], r["vector_idx"]) for r in s.read("vectors").collect()}
+    moved = {r["vec_id"]: (r["segment_id"], r["vector_idx"]) for r in lifecycle.redirected(s, old).collect()}
+    assert set(now) == {v for v in live if v < 100} and all(moved[v] == p for v, p in now.items())
+    gone = s.vacuum()
+    assert gone and s.read("vectors").count() == len(now) and s.vacuum() == []
+
+
+def test_hybrid_over_graphs(spark, data):
+    rows = segments.assign(vectors(spark, data), "vec_id", 80)
+    index = hnsw.build_index(rows.where("segment_id < 2"))
+    texts = spark.createDataFrame([(i, "green apple" if i % 9 == 0 else "stone") for i in range(200)], "vec_id long, text string")
+    q = data[5].tolist()
+    got = hybrid.hybrid_ann_topk(rows, index, texts, q, "green apple", 6, ef=80, overfetch=20).collect()
+    want = hybrid.hybrid_topk(rows, texts, q, "green apple", 6).collect()
+    assert [r["vec_id"] for r in got] == [r["vec_id"] for r in want] and [r["score"] for r in got] == pytest.approx([r["score"] for r in want], abs=2e-6)
+
+
+def test_graph_statistics(spark, data):
+    from vectrail.plans import stats
+
+    rows = segments.assign(vectors(spark, data[:100]), "vec_id", 50)
+    index = hnsw.build_index(rows).persist()
+    r = stats.collection_statistics(rows, index, 50).first()
+    graphs = [hnsw.build(data[i : i + 50], seed=i // 50) for i in (0, 50)]
+    assert (r["graph_nodes"], r["graph_layers"]) == (100, max(len(g.links) for g in graphs))
+    assert r["average_degree"] == pytest.approx(np.mean([len(x) for g in graphs for x in g.links[0].values()]))
+
+
+def test_graph_snapshots(spark, data, tmp_path):
+    from vectrail.sources import graph_files
+
+    rows = segments.assign(vectors(spark, data[:100]), "vec_id", 50)
+    index = hnsw.build_index(rows).persist()
+    folder = f"file://{tmp_path}/snap"
+    sizes = graph_files.snapshot(index, folder, "cosine", hnsw.Parameters(ef_search=40)).collect()
+    assert sorted((r["segment_id"], r["nodes"]) for r in sizes) == [(0, 50), (1, 50)]
+    back = graph_files.restore(spark, folder)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, index.select(*back.columns).collect()))
+    assert graph_files.metadata(spark, folder)["ef_search"] == 40 and sorted(r["nodes"] for r in graph_files.headers(spark, folder).collect()) == [50, 50]
+    q = data[9].tolist()
+    assert hnsw.ann_topk(rows, back, q, 5).collect() == hnsw.ann_topk(rows, index, q, 5).collect()
+    at = tmp_path / "snap" / "graph-0.bin"
+    at.write_bytes(at.read_bytes()[:-40])
+    with pytest.raises(Exception, match="cut off"):
+        graph_files.restore(spark, folder).count()
+
+
+def test_jdbc(spark):
+    from vectrail.sources.store import jdbc
+
+    url = "jdbc:derby:memory:vectrail;create=true"
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "id int, name string")
+    rows.write.jdbc(url, "things", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    got = jdbc(spark, url, "things", "id", (0, 20), 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert got.rdd.getNumPartitions() == 4 and sorted((r[0], r[1]) for r in got.collect()) == [(i, f"n{i}") for i in range(20)]

@@ -86,3 +86,21 @@ def test_feedback():
     assert f.observed == 1
     f.reset()
     assert f.ratio == 1e-4
+
+
+def test_explained_runs_say_what_the_cache_did(spark):
+    from types import SimpleNamespace
+
+    from vectrail.plans import planner
+    from vectrail.plans.cost import Stats
+
+    cache = SimpleNamespace(hits=5, misses=7)
+
+    def search(q, k, ids):
+        cache.hits += 1
+        return spark.range(k)
+
+    registry = planner.StrategyRegistry()
+    registry.register("EXACT", search)
+    done = planner.explain_search(planner.Planner(registry, lambda: Stats(collection_size=10)), [1.0], 3, cache=cache)
+    assert (done.cache_hits, done.cache_misses, len(done.rows)) == (1, 0, 3) and "1 cache hits, 0 misses" in done.to_markdown() and done.to_dict()["cache_hits"] == 1

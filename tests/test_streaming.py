@@ -1,6 +1,7 @@
 import pytest
 
 from vectrail.functions.chunking import Fixed
+from vectrail.operators import lifecycle
 from vectrail.schemas import Collection
 from vectrail.sources.store import Store
 from vectrail.streaming import ingest, tasks
@@ -9,7 +10,7 @@ from vectrail.streaming import ingest, tasks
 def test_store_versions(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert store.read("documents").count() == 0
-    doc = lambda i: ingest._as(spark.createDataFrame([(str(i), "c")], "id string, collection_id string"), "documents")
+    doc = lambda i: lifecycle.as_table(spark.createDataFrame([(str(i), "c")], "id string, collection_id string"), "documents")
     store.append({"documents": doc(1)})
     store.append({"documents": doc(2)})
     assert store.read("documents").count() == 2
@@ -20,6 +21,53 @@ def test_store_versions(spark, tmp_path):
     assert [r["id"] for r in store.read("documents").collect()] == ["4"]
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from vectrail.sources import store as module
+
+    root = f"file://{tmp_path}/s"
+    a, b = Store(spark, root), Store(spark, root)
+    doc = lambda i: {"documents": lifecycle.as_table(spark.createDataFrame([(str(i), "c")], "id string, collection_id string"), "documents")}
+    a.append(doc(1))
+    # While a commits, b takes the number that a was about to take.
+    create, other = a.files.create, doc(2)
+    calls = []
+
+    def late(name, data):
+        calls.append(name)
+        if len(calls) == 1:
+            b.append(other)
+        return create(name, data)
+
+    a.files.create = late
+    a.append(doc(3))
+    assert len(calls) == 2 and {r["id"] for r in a.read("documents").collect()} == {"1", "2", "3"} and a.rows("documents") == 3
+    a.files.create = create
+    read = a.manifest()
+    b.append(doc(4))
+    with pytest.raises(module.ConcurrentChange):
+        a.replace(doc(5), read=read)
+    assert a.read("documents").count() == 4 and a.tidy("documents", 3) and a.read("documents").count() == 4 and not a.tidy("documents", 3)
+
+
+def test_states_of_documents(spark, tmp_path):
+    from vectrail.functions import embedders
+
+    store, c = Store(spark, str(tmp_path / "store")), Collection("c", 8)
+    docs = spark.createDataFrame([(1, "one text"), (2, "other text"), (3, " "), (4, "one text")], "doc_id long, text string")
+
+    def down():
+        raise ConnectionError("the model is down")
+
+    with pytest.raises(Exception, match="down"):
+        lifecycle.ingest_documents(store, docs, c, embedder=embedders.Remote(down, 8))
+    assert sorted((r["status"], r["attempt"]) for r in lifecycle.states(store).collect()) == [("failed", 1)] * 2 and store.read("documents").count() == 0
+    assert all("down" in r["message"] for r in lifecycle.states(store).collect())
+    lifecycle.ingest_documents(store, docs, c)
+    assert sorted((r["status"], r["attempt"]) for r in lifecycle.states(store).collect()) == [("completed", 2)] * 2 and store.read("documents").count() == 2
+    lifecycle.ingest_documents(store, docs, c)
+    assert {r["attempt"] for r in lifecycle.states(store).collect()} == {2} and store.read("documents").count() == 2
+
+
 def test_stream_equals_batch_and_is_idempotent(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text number {i % 6}") for i in range(10)], "doc_id long, text string")
     docs.repartition(3).write.parquet(str(tmp_path / "in"))

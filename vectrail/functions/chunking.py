@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from . import vectors as V
 
 
 class Chunker(Protocol):
@@ -108,18 +110,39 @@ class Recursive:
 
 
 class Semantic:
-    """Neighbouring sentences stay together while the similarity of their vectors is at least ``threshold``."""
+    """Neighbouring sentences stay together while the similarity of their vectors is at least ``threshold``.
+
+    A row holds all its sentences, so it is split, embedded, compared and joined where it is: no shuffle, and rows
+    that share an id stay apart.
+    """
 
     def __init__(self, embedder, threshold: float = 0.75):
         self.embedder, self.threshold = embedder, threshold
 
-    def chunk(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-        rest = [c for c in docs.columns if c != text]
-        rows = docs.select(*rest, F.posexplode(X.sentences(F.col(text))).alias("pos", "sentence"))
-        rows = self.embedder.embed(rows, "sentence", [*rest, "pos"], "vec")
-        order = Window.partitionBy(key).orderBy("pos")
-        close = F.round(V.cosine(F.lag("vec").over(order), F.col("vec")), 9)  # equal on every engine
-        rows = rows.withColumn("near", close).withColumn("first", F.when(F.col("near").isNull() | (F.col("near") >= self.threshold), 0).otherwise(1))
-        rows = rows.withColumn("chunk_index", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-        parts = F.array_sort(F.collect_list(F.struct("pos", "sentence")))
-        return rows.groupBy(*rest, "chunk_index").agg(F.array_join(F.transform(parts, lambda p: p["sentence"]), " ").alias("chunk"))
+    def chunk(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        embedder, threshold = self.embedder, self.threshold
+        rest = [f for f in docs.schema.fields if f.name != text]
+        names = [f.name for f in rest]
+        sentences = F.coalesce(X.sentences(F.col(text)), F.array().cast("array<string>"))
+        rows = docs.select(*(F.col(f"`{n}`") for n in names), sentences.alias("__s"))
+        rows = rows.select("*", F.transform("__s", embedder.prepared).alias("__p"))
+
+        def run(batches):
+            for b in batches:
+                said, lengths = b.column(len(names)).flatten().to_pylist(), pc.list_value_length(b.column(len(names))).to_numpy(zero_copy_only=False)
+                if not said:
+                    continue
+                v = embedder.vectors(b.column(len(names) + 1).flatten())
+                n = np.sqrt((v * v).sum(1))
+                size = n[1:] * n[:-1]
+                near = np.round(np.where(size > 0, (v[1:] * v[:-1]).sum(1) / np.where(size > 0, size, 1.0), 0.0), 9)  # equal on every engine
+                row = np.repeat(np.arange(b.num_rows), lengths)
+                apart = np.append(True, (row[1:] != row[:-1]) | (near < threshold))
+                begin = np.flatnonzero(apart)
+                owner = row[begin]
+                index = np.arange(len(begin)) - np.searchsorted(owner, owner)
+                chunks = [" ".join(said[i:j]) for i, j in zip(begin, [*begin[1:], len(said)], strict=True)]
+                kept = [c.take(pa.array(owner)) for c in b.columns[: len(names)]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(index, pa.int32()), pa.array(chunks, pa.string())], names=[*names, "chunk_index", "chunk"])
+
+        return rows.mapInArrow(run, T.StructType([*rest, T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk", T.StringType())]))

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,12 @@ class Embedder(Protocol):
     def embed(self, rows: DataFrame, text: str, keys: list[str], out: str) -> DataFrame:
         """The columns ``keys`` and ``text`` with the vector ``out``; ``keys`` identify a row."""
 
+    def prepared(self, text: Column) -> Column:
+        """What ``vectors`` reads of a text, made by built-in functions."""
+
+    def vectors(self, prepared: pa.Array) -> np.ndarray:
+        """A row of numbers for each prepared text, within a worker."""
+
 
 class FeatureHash:
     """Signed feature hashing of clean words.
@@ -37,9 +43,14 @@ class FeatureHash:
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
 
+    def prepared(self, text: Column) -> Column:
+        return F.filter(F.transform(X.tokens(F.coalesce(text, F.lit(""))), X.clean_word), lambda w: w != "")
+
+    def vectors(self, prepared: pa.Array) -> np.ndarray:
+        return signed_sums(prepared, self.dimension).flatten().to_numpy(zero_copy_only=False).reshape(len(prepared), self.dimension)
+
     def embed(self, rows: DataFrame, text: str, keys: list[str], out: str = "embedding") -> DataFrame:
-        words = F.filter(F.transform(X.tokens(F.coalesce(F.col(text), F.lit(""))), X.clean_word), lambda w: w != "")
-        chosen = rows.select(*keys, text, words.alias("__words"))
+        chosen = rows.select(*keys, text, self.prepared(F.col(text)).alias("__words"))
         dimension, names = self.dimension, [*keys, text, out]
 
         def run(batches):
@@ -91,6 +102,12 @@ class Gaussian:
         n = np.linalg.norm(v)
         return (v / n if n > 0 else v).astype(np.float32).tolist()
 
+    def prepared(self, text: Column) -> Column:
+        return text
+
+    def vectors(self, prepared: pa.Array) -> np.ndarray:
+        return np.array([self.one(t) for t in prepared.to_pylist()], dtype=np.float64).reshape(len(prepared), self.dimension)
+
     def embed(self, rows: DataFrame, text: str, keys: list[str], out: str = "embedding") -> DataFrame:
         one = self.one
 
@@ -112,6 +129,15 @@ class Remote:
     def __init__(self, client: Callable[[], Callable[[list[str]], list[list[float]]]], dimension: int, batch: int = 64):
         self.client, self.dimension, self.batch = client, dimension, batch
 
+    def prepared(self, text: Column) -> Column:
+        return F.coalesce(text, F.lit(""))
+
+    def vectors(self, prepared: pa.Array) -> np.ndarray:
+        call, texts, got = self.client(), prepared.to_pylist(), []
+        for i in range(0, len(texts), self.batch):
+            got += call(texts[i : i + self.batch])
+        return np.asarray(got, dtype=np.float64).reshape(len(texts), self.dimension)
+
     def embed(self, rows: DataFrame, text: str, keys: list[str], out: str = "embedding") -> DataFrame:
         client, batch, dimension = self.client, self.batch, self.dimension
 

@@ -68,6 +68,16 @@ def similarity(metric: str | Metric, score: Column) -> Column:
     return score if Metric.of(metric).descending else 1 / (1 + score)
 
 
+def known(score: Column) -> Column:
+    """Whether a row has a score: a null or NaN in its vector, a null vector or one of another length give none."""
+    return score.isNotNull() & ~F.isnan(score)
+
+
+def usable(v: Column, dimension: int) -> Column:
+    """Whether a vector has the length and no null or NaN."""
+    return F.coalesce((F.size(v) == dimension) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+
+
 def ordering(metric: str | Metric, score: str = "score", *ids: str) -> list[Column]:
     """Nearest first, then by id: a total order."""
     first = F.col(score).desc() if Metric.of(metric).descending else F.col(score).asc()

@@ -27,9 +27,13 @@ def allowed(rows: DataFrame, ids: DataFrame | None, key: str) -> DataFrame:
 
 
 def exact_topk(rows: DataFrame, query: Sequence[float], k: int = 5, metric: str | Metric = Metric.COSINE, key: str = "vec_id", vector: str = "embedding", ids: DataFrame | None = None) -> DataFrame:
-    """(key, score) of the k nearest rows, nearest first, ties by key: one scan and a top-k in each task."""
+    """(key, score) of the k nearest rows, nearest first, ties by key: one scan and a top-k in each task.
+
+    Rows without a usable vector (null, another length, a null or NaN within) are never found.
+    """
     m = Metric.of(metric)
-    found = allowed(active(rows), ids, key).select(key, F.round(V.measure(m, F.col(vector), V.literal(query)), DIGITS).alias("score"))
+    found = allowed(active(rows), ids, key).where(F.size(vector) == len(query)).select(key, F.round(V.measure(m, F.col(vector), V.literal(query)), DIGITS).alias("score"))
+    found = found.where(V.known(F.col("score")))
     return found.orderBy(*V.ordering(m, "score", key)).limit(k)
 
 
@@ -58,7 +62,7 @@ def blocked_topk(rows: DataFrame, query: Sequence[float], k: int = 5, metric: st
             at = np.lexsort((b.column(0).to_numpy(zero_copy_only=False), -s if m.descending else s))[:k]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(s[at])], names=[key, "score"])
 
-    chosen = allowed(active(rows), ids, key).where(F.size(vector) == len(q)).select(key, vector)
+    chosen = allowed(active(rows), ids, key).where(V.usable(F.col(vector), len(q))).select(key, vector)
     kind = dict(rows.dtypes)[key]
     return chosen.mapInArrow(run, f"`{key}` {kind}, score double").orderBy(*V.ordering(m, "score", key)).limit(k)
 
@@ -66,51 +70,84 @@ def blocked_topk(rows: DataFrame, query: Sequence[float], k: int = 5, metric: st
 def batch_knn(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str | Metric = Metric.COSINE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, score, rank): the k nearest rows of each query (query_id, query_vector).
 
-    The queries are a stated set: they are collected in blocks of bounded size and each block goes through
-    the rows once, as a matrix product per Arrow batch that keeps k rows per query. What leaves a batch is k
-    rows per query, and the ranking is a window over these.
+    The queries are a stated set: they are sent to the workers in parts of at most ``QUERY_BYTES``, each of which
+    goes through the rows once, as matrix products of Arrow batches with blocks of queries. What leaves a batch is
+    k rows per query, and the ranking is a window over these. Rows and queries without a usable vector (null,
+    another length, a null or NaN within) aren't compared; a query of no usable row has no result.
     """
     m = Metric.of(metric)
-    kind = dict(rows.dtypes)[key]
-    parts: list[DataFrame] = []
-    for block in _query_blocks(queries):
-        parts.append(active(rows).select(key, vector).mapInArrow(_nearest(rows, block, k, m, key), f"query_id {dict(queries.dtypes)['query_id']}, `{key}` {kind}, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, `{key}` {dict(rows.dtypes)[key]}, score double"
+    found = None
+    for part in query_parts(queries):
+        chosen = active(rows).where(V.usable(F.col(vector), part[1].shape[1])).select(key, vector)
+        one = chosen.mapInArrow(_nearest(rows, part, k, m, key), schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy(*V.ordering(m, "score", key))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Query vectors that go through the rows together.
-QUERY_BLOCK = 1024
+#: Bytes of query vectors that are broadcast together, and queries of one product.
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 256
 
 
-def _query_blocks(queries: DataFrame):
-    ids, vectors = [], []
-    for r in queries.select("query_id", "query_vector").toLocalIterator():
+def query_parts(queries: DataFrame):
+    """(ids, matrix) parts of the usable queries (query_id, query_vector); vectors of different lengths are in different parts."""
+    held: dict[int, tuple[list, list]] = {}
+    vector = F.col("query_vector")
+    rows = queries.where(vector.isNotNull() & V.usable(vector, F.size(vector))).select("query_id", "query_vector")
+    for r in rows.toLocalIterator():
+        n = len(r[1])
+        ids, vectors = held.setdefault(n, ([], []))
         ids.append(r[0])
-        vectors.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            yield ids, np.asarray(vectors, dtype=np.float64)
-            ids, vectors = [], []
-    yield ids, np.asarray(vectors, dtype=np.float64)
+        vectors.append(np.asarray(r[1], dtype=np.float64))
+        if 8 * n * len(ids) >= QUERY_BYTES:
+            yield ids, np.stack(vectors)
+            del held[n]
+    for n, (ids, vectors) in sorted(held.items()):
+        if n:
+            yield ids, np.stack(vectors)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow list column, all of one length, as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def block_scores(m: Metric, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Scores of each row of x (downwards) with each query (across)."""
+    if m in (Metric.L2, Metric.MANHATTAN):  # differences keep digits that products lose
+        return np.stack([scores(m, x, v) for v in q], axis=1)
+    products = x @ q.T
+    if m is Metric.DOT:
+        return products
+    n = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
+    return np.where(n > 0, products / np.where(n > 0, n, 1.0), 0.0)
 
 
-def _nearest(rows: DataFrame, block, k: int, m: Metric, key: str):
-    shared = rows.sparkSession.sparkContext.broadcast(block)  # at most QUERY_BLOCK vectors
+def _nearest(rows: DataFrame, part, k: int, m: Metric, key: str):
+    shared = rows.sparkSession.sparkContext.broadcast(part)  # at most QUERY_BYTES
 
     def run(batches):
         ids, q = shared.value
         for b in batches:
-            if not b.num_rows or not len(ids):
+            if not b.num_rows:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            for i, v in zip(ids, q, strict=True):
-                s = np.round(scores(m, x, v), DIGITS)
-                at = np.lexsort((keys, -s if m.descending else s))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(at)), b.column(0).take(pa.array(at)), pa.array(s[at])], names=["query_id", key, "score"])
+            x, keys = matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+            n = min(k, len(x))
+            for lo in range(0, len(ids), QUERY_BLOCK):
+                s = np.round(block_scores(m, x, q[lo : lo + QUERY_BLOCK]), DIGITS)
+                s = -s if m.descending else s
+                last = np.partition(s, n - 1, axis=0)[n - 1]
+                near = [at[np.lexsort((keys[at], s[at, j]))[:n]] for j in range(s.shape[1]) for at in [np.flatnonzero(s[:, j] <= last[j])]]
+                flat = np.concatenate(near)
+                who = np.repeat(np.arange(s.shape[1]), n)
+                got = s[flat, who]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[lo + j] for j in who.tolist()]), b.column(0).take(pa.array(flat)), pa.array(-got if m.descending else got)], names=["query_id", key, "score"])
 
     return run
 

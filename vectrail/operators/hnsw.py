@@ -13,12 +13,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schemas import ACTIVE, Metric
-from .exact import DIGITS, allowed, blocked_topk, scores
+from .exact import DIGITS, allowed, blocked_topk, matrix, query_parts, scores
 
 
 @dataclass(frozen=True)
@@ -143,15 +144,19 @@ def build_index(rows: DataFrame, metric: str | Metric = Metric.COSINE, p: Parame
     """Graph rows of each segment of ``rows`` (segment_id, vector_idx, key, vector): neighbours by layer, as vector_idx.
 
     Nodes are inserted in the order of vector_idx with a generator seeded by the segment, so a rebuilt
-    segment is the same. Tombstones aren't inserted.
+    segment is the same. Tombstones and rows without a usable vector, or of another length than most of
+    their segment, aren't inserted.
     """
     m, p = Metric.of(metric), p or Parameters()
     if "status" in rows.columns:
         rows = rows.where(F.col("status") == ACTIVE)
+    rows = rows.where(V.usable(F.col(vector), F.size(vector)) & (F.size(vector) > 0))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("vector_idx")
-        x = np.asarray(t.column("v").to_pylist(), dtype=np.float64)
+        lengths = pc.list_value_length(t.column("v"))
+        t = t.filter(pc.equal(lengths, pc.mode(lengths)[0]["mode"]))
+        x = matrix(t.column("v"))
         segment = t.column("segment_id")[0].as_py()
         g = build(x, m, p, segment)
         idx = t.column("vector_idx").to_pylist()
@@ -171,7 +176,7 @@ def restore(t: pa.Table, metric: Metric, p: Parameters) -> tuple[Graph, list[int
     t = t.sort_by("vector_idx")
     idx = t.column("vector_idx").to_pylist()
     place = {v: i for i, v in enumerate(idx)}
-    g = Graph(metric, p, np.asarray(t.column("v").to_pylist(), dtype=np.float64))
+    g = Graph(metric, p, matrix(t.column("v")))
     g.levels = t.column("level").to_pylist()
     g.links = [{} for _ in range(max(g.levels, default=-1) + 1)]
     for i, layers in enumerate(t.column("neighbors").to_pylist()):
@@ -189,19 +194,29 @@ def search_index(
     """(query_id, key, score): up to 2k per query and segment from the graphs, before the global top-k.
 
     Vectors are joined to the graph's nodes by (segment_id, vector_idx). Deleted rows and rows outside
-    ``ids`` lead a search on but aren't found. Queries (query_id, query_vector) are a stated set and broadcast.
+    ``ids`` lead a search on but aren't found. Queries (query_id, query_vector) are a stated set, broadcast in parts of
+    bounded size.
     """
     m, p = Metric.of(metric), p or Parameters()
-    qs = queries.select("query_id", "query_vector").collect()  # a stated set
-    shared = index.sparkSession.sparkContext.broadcast(([r[0] for r in qs], np.asarray([r[1] for r in qs], dtype=np.float64)))
     live = rows.where(F.col("status") == ACTIVE) if "status" in rows.columns else rows
     live = allowed(live, ids, key).select(F.col("segment_id").cast("long").alias("segment_id"), F.col("vector_idx").cast("long").alias("vector_idx"), F.lit(True).alias("ok"))
     vectors = rows.select(F.col("segment_id").cast("long").alias("segment_id"), F.col("vector_idx").cast("long").alias("vector_idx"), F.col(vector).alias("v"))
     full = index.join(vectors, ["segment_id", "vector_idx"]).join(live, ["segment_id", "vector_idx"], "left")
 
+    schema = f"query_id long, `{key}` long, score double"
+    found = None
+    for part in query_parts(queries):
+        one = full.groupBy("segment_id").applyInArrow(_searcher(index.sparkSession.sparkContext.broadcast(part), k, ef, m, p, key), schema)
+        found = one if found is None else found.unionByName(one)
+    return index.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def _searcher(shared, k: int, ef: int | None, m: Metric, p: Parameters, key: str):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("vector_idx")
         g, keys = restore(t, m, p)
+        if g.vectors.shape[1] != shared.value[1].shape[1]:  # queries of another length have no neighbours here
+            return pa.table({"query_id": pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ok = np.array([x is True for x in t.column("ok").to_pylist()])
         a, b, c = [], [], []
         for i, q in zip(*shared.value, strict=True):
@@ -211,7 +226,7 @@ def search_index(
                 c.append(round(g.score(d), DIGITS))
         return pa.table({"query_id": pa.array(a, pa.int64()), key: pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-    return full.groupBy("segment_id").applyInArrow(run, f"query_id long, `{key}` long, score double")
+    return run
 
 
 def ann_topk(rows: DataFrame, index: DataFrame, query: Sequence[float], k: int = 10, metric: str | Metric = Metric.COSINE, key: str = "vec_id", vector: str = "embedding", ids: DataFrame | None = None, ef: int | None = None, p: Parameters | None = None) -> DataFrame:

@@ -14,10 +14,10 @@ from .exact import DIGITS, active, allowed
 
 
 def semantic_scores(rows: DataFrame, query: Sequence[float], metric: str | Metric, key: str, vector: str, ids: DataFrame | None = None) -> DataFrame:
-    """(key, semantic): a similarity, larger is nearer, whatever the metric."""
+    """(key, semantic): a similarity, larger is nearer, whatever the metric; rows without a usable vector have none."""
     m = Metric.of(metric)
     s = V.similarity(m, V.measure(m, F.col(vector), V.literal(query)))
-    return allowed(active(rows), ids, key).select(key, s.alias("semantic"))
+    return allowed(active(rows), ids, key).where(F.size(vector) == len(query)).select(key, s.alias("semantic")).where(V.known(F.col("semantic")))
 
 
 def keyword_scores(texts: DataFrame, query_text: str, key: str, text: str) -> DataFrame:
@@ -45,6 +45,20 @@ def hybrid_topk(
     return fuse(semantic, keyword, alpha, key, candidates).orderBy(F.col("score").desc(), F.col(key).asc()).limit(k)
 
 
+def hybrid_ann_topk(
+    rows: DataFrame, index: DataFrame, texts: DataFrame, query: Sequence[float], query_text: str, k: int = 5, alpha: float = 0.5, metric: str | Metric = Metric.COSINE,
+    key: str = "vec_id", vector: str = "embedding", text: str = "text", ids: DataFrame | None = None, ef: int | None = None, overfetch: int = 2,
+) -> DataFrame:
+    """Hybrid search over graph segments and a scan of growing ones: the ``overfetch`` * k nearest are re-ranked by the fused score."""
+    from .hnsw import ann_topk
+
+    m = Metric.of(metric)
+    near = ann_topk(rows, index, query, overfetch * k, m, key, vector, ids, ef)
+    semantic = near.select(key, V.similarity(m, F.col("score")).alias("semantic"))
+    keyword = keyword_scores(texts.join(F.broadcast(semantic.select(key)), key, "left_semi"), query_text, key, text)  # overfetch * k ids
+    return fuse(semantic, keyword, alpha, key).orderBy(F.col("score").desc(), F.col(key).asc()).limit(k)
+
+
 def hydrate(hits: DataFrame, texts: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Hits with a ``payload`` of further columns: joined after the top-k, so only k rows are looked up."""
     payload = texts.select(F.col(key).alias("__key"), F.struct(*columns).alias("payload"))

@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ACTIVE
 
 
+#: Ranges at the most: beyond it they grow, and a range's window sorts on disk.
+MOST_RANGES = 10_000
+
+
+def range_of(value: Column, cuts: list, kind: str) -> Column:
+    """How many of the sorted ``cuts`` lie below the value: a binary search in one constant array."""
+    n = len(cuts)
+    if not n:
+        return F.lit(0)
+    sorted_cuts = F.split(F.lit(",".join(map(str, cuts))), ",").cast(f"array<{kind}>")  # folded to a constant
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        above = F.get(sorted_cuts, middle) < value
+        open_ = a["lo"] < a["hi"]
+        return F.struct(F.when(open_ & above, middle + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~above, middle).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), halve)["lo"]
+
+
 def ordinals(rows: DataFrame, by: str, name: str = "ordinal", per_range: int = 100_000, start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of a numeric, unique column, without sorting all rows in one task.
 
@@ -15,16 +35,16 @@ def ordinals(rows: DataFrame, by: str, name: str = "ordinal", per_range: int = 1
     moved on by the sizes of the ranges before it (one small row per range).
     """
     n = rows.count()
-    ranges = max(1, n // per_range)
+    ranges = min(MOST_RANGES, max(1, n // per_range))
     cuts: list = []
     if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(rows.agg(F.percentile_approx(by, shares, 10_000)).first()[0] or []))
-    dealt = rows.withColumn("__range", sum((F.when(F.col(by) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+        shares = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
+        cuts = sorted(set(rows.agg(F.percentile_approx(by, shares, max(10_000, 4 * ranges))).first()[0] or []))
+    dealt = rows.withColumn("__range", range_of(F.col(by), cuts, dict(rows.dtypes)[by]))
     within = F.row_number().over(Window.partitionBy("__range").orderBy(by)) - 1
     sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("__range", before.alias("__before"))
+    offsets = sizes.select("__range", before.alias("__before"))  # MOST_RANGES rows
     return dealt.withColumn("__within", within).join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__within") + F.col("__before") + start).cast("long")).drop("__range", "__within", "__before")
 
 

@@ -6,6 +6,7 @@ The collection has the vectors of ``embeddings``; a vector's document is the one
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 from .functions import chunking, embedders
 from .functions import text as X
 from .functions import vectors as V
-from .operators import cache, exact, filters, hnsw, hybrid, ingest, segments
-from .plans import cost, stats
+from .operators import cache, exact, filters, hnsw, hybrid, ingest, lifecycle, segments
+from .plans import cost, planner, stats
 from .schemas import Collection, Metric
-from .session import ship
+from .session import shared_dir, ship
+from .sources import graph_files, segment_files, store
+from .streaming import ingest as streaming
+from .streaming import tasks
 from .streaming.ingest import event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +106,15 @@ def vector_measures(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", *(F.round(c, 6).alias(n) for n, c in columns.items()))
 
 
+@query(_topk_sql("list_distance(e, q)", "ASC", where="status = 1 AND vec_id % 13 > 2"))
+def guarded_l2_topk(spark, sf_dir):
+    """Vectors that are null, too short or have a null or NaN within are never neighbours."""
+    rows, r = vectors(spark, sf_dir), F.col("vec_id") % 13
+    e = F.col("embedding")
+    broken = F.when(r == 0, F.lit(None)).when(r == 1, F.slice(e, 1, 63)).when(r == 2, F.concat(F.slice(e, 1, 63), F.array(F.lit(float("nan")).cast("float")))).otherwise(e)
+    return exact.exact_topk(rows.withColumn("embedding", broken), query_vector(spark, sf_dir), 10, "l2")
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id % 17 <> 0 AND label IN (1, 3) AND vec_id IS NOT NULL")
 def active_rows(spark, sf_dir):
     return exact.active(vectors(spark, sf_dir)).where(F.col("label").isin(1, 3) & F.col("vec_id").isNotNull()).select("vec_id", "label")
@@ -257,14 +270,8 @@ def delete_cascade(spark, sf_dir):
     return left["documents"].agg(F.count("*").alias("documents")).crossJoin(left["chunks"].agg(F.count("*").alias("chunks")))
 
 
-@query(f"WITH {_P} SELECT vec_id, segment_id FROM p WHERE segment_id < 2 UNION ALL SELECT vec_id + 1000000 AS vec_id, segment_id FROM p WHERE segment_id = 2")
-def append_union(spark, sf_dir):
-    p = placed(spark, sf_dir).select("vec_id", "segment_id")
-    return p.where(F.col("segment_id") < 2).unionByName(p.where(F.col("segment_id") == 2).withColumn("vec_id", F.col("vec_id") + 1_000_000))
-
-
 @query(f"WITH {_P} SELECT vec_id, segment_id FROM p WHERE segment_id % 2 = 0 UNION ALL SELECT vec_id + 1000000 AS vec_id, segment_id FROM p WHERE segment_id % 2 = 1")
-def append_union_all(spark, sf_dir):
+def append_union(spark, sf_dir):
     """All rows: those of even segments, and those of odd ones under shifted ids."""
     p = placed(spark, sf_dir).select("vec_id", "segment_id")
     return p.where(F.col("segment_id") % 2 == 0).unionByName(p.where(F.col("segment_id") % 2 == 1).withColumn("vec_id", F.col("vec_id") + 1_000_000))
@@ -275,6 +282,84 @@ def segment_memory(spark, sf_dir):
     return cache.memory(placed(spark, sf_dir).withColumn("payload", F.col("label").cast("string")), payload="payload")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder among those that driver and executors share."""
+    return f"{shared_dir(spark)}/vectrail-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_P} SELECT segment_id, vector_idx, vec_id, status, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM p JOIN embeddings USING (vec_id)")
+def segment_files_roundtrip(spark, sf_dir):
+    """Segments written as checksummed binary files and read back."""
+    p = placed(spark, sf_dir)
+    ident = lambda c: F.regexp_replace(F.lpad(F.lower(F.hex(c)), 32, "0"), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    rows = p.select(ident(F.col("segment_id")).alias("segment_id"), "vector_idx", ident(F.col("vec_id")).alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label")).alias("payload"), "status")
+    folder = fresh(spark, "segments")
+    segment_files.write_segments(rows, folder, 64).count()
+    back = segment_files.read_segments(spark, folder, 64)
+    number = lambda c: F.conv(F.regexp_replace(c, "-", ""), 16, 10).cast("long")
+    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return back.select(number("segment_id").alias("segment_id"), "vector_idx", number("id").alias("vec_id"), "status", F.round(total, 4).alias("total"))
+
+
+@query("SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1 UNION ALL SELECT -1, (SELECT count(*) FROM region)")
+def store_appends(spark, sf_dir):
+    """Rows appended in two commits and read back, and a table whose contents are replaced."""
+    s = store.Store(spark, fresh(spark, "store"))
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = lambda df, k, name: lifecycle.as_table(df.select(F.col(k).cast("string").alias("id"), F.col(name).cast("string").alias("namespace")), "collections")
+    s.append({"collections": rows(nation.where("n_nationkey < 10"), "n_nationkey", "n_regionkey"), "users": lifecycle.as_table(nation.select(F.lit("x").alias("id")), "users")})
+    s.append({"collections": rows(nation.where("n_nationkey >= 10"), "n_nationkey", "n_regionkey")})
+    s.replace({"users": lifecycle.as_table(region.select(F.lit("y").alias("id")), "users")})
+    out = s.read("collections").groupBy(F.col("namespace").cast("int").alias("region")).agg(F.count("*").alias("n"))
+    return out.unionByName(s.read("users").where("id = 'y'").agg(F.lit(-1).alias("region"), F.count("*").alias("n")))
+
+
+_ELIGIBLE = f"x AS (SELECT segment_id FROM s WHERE active < {CAPACITY // 2} OR deleted > 0.05 * records), t AS (SELECT max(segment_id) + 1 AS first FROM s)"
+
+
+@query(f"""WITH {_P}, {_S}, {_ELIGIBLE}, m AS (SELECT vec_id, status, row_number() OVER (ORDER BY segment_id, vector_idx) - 1 AS o FROM p WHERE status = 1 AND segment_id IN (SELECT segment_id FROM x))
+SELECT vec_id, status, segment_id, vector_idx FROM p WHERE segment_id NOT IN (SELECT segment_id FROM x)
+UNION ALL SELECT vec_id, status, first + o // {CAPACITY} AS segment_id, o % {CAPACITY} AS vector_idx FROM m, t""")
+def stored_compaction(spark, sf_dir):
+    """The stored collection after a compaction: new segments, graphs and redirects in one commit."""
+    s = store.Store(spark, fresh(spark, "compaction"))
+    lifecycle.add_vectors(s, vectors(spark, sf_dir), CAPACITY, index=False)
+    lifecycle.compact(s, CAPACITY, 0.05)
+    return s.read("vectors").select("vec_id", "status", "segment_id", "vector_idx")
+
+
+@query(f"WITH {_P}, {_S}, {_ELIGIBLE}, m AS (SELECT vec_id, segment_id, vector_idx, row_number() OVER (ORDER BY segment_id, vector_idx) - 1 AS o FROM p WHERE status = 1 AND segment_id IN (SELECT segment_id FROM x)) SELECT vec_id, segment_id AS old_segment_id, vector_idx AS old_vector_idx, first + o // {CAPACITY} AS segment_id, o % {CAPACITY} AS vector_idx FROM m, t")
+def compaction_redirects(spark, sf_dir):
+    """Old places looked up through the stored redirects."""
+    s = store.Store(spark, fresh(spark, "redirects"))
+    lifecycle.add_vectors(s, vectors(spark, sf_dir), CAPACITY, index=False)
+    before = s.read("vectors").where(F.col("status") == 1).select("vec_id", F.col("segment_id").alias("old_segment_id"), F.col("vector_idx").alias("old_vector_idx"), "segment_id", "vector_idx")
+    before = s.staged(before, "before")
+    lifecycle.compact(s, CAPACITY, 0.05)
+    return lifecycle.redirected(s, before).where(F.col("segment_id") != F.col("old_segment_id"))
+
+
+@query(_topk_sql("list_cosine_similarity(e, q)", "DESC"))
+def stored_index_topk(spark, sf_dir):
+    """A search of stored graphs, built when the segments were sealed and only read here."""
+    s = store.Store(spark, fresh(spark, "collection"))
+    lifecycle.add_vectors(s, vectors(spark, sf_dir), CAPACITY)
+    return lifecycle.of_store(s, ef=CAPACITY).get("HNSW")(query_vector(spark, sf_dir), 10, None)
+
+
+@query(f"WITH {_P}, n AS (SELECT count(DISTINCT segment_id) AS n FROM p) SELECT n AS hits, n AS misses, round(CASE WHEN n > 0 THEN 0.5::DOUBLE ELSE 0 END, 6)::DOUBLE AS hit_ratio FROM n")
+def cache_hit_ratio(spark, sf_dir):
+    """Two rounds over all segments through the cache: the first misses, the second hits."""
+    rows = placed(spark, sf_dir)
+    c = cache.SegmentCache.of(rows)
+    numbers = [r[0] for r in rows.select("segment_id").distinct().orderBy("segment_id").collect()]  # a segment each
+    for s in [*numbers, *numbers]:
+        c.segment(s)
+    out = spark.createDataFrame([(c.hits, c.misses, c.hit_ratio)], "hits long, misses long, hit_ratio double")
+    c.clear()
+    return out
+
+
 # --- metadata filters -------------------------------------------------------------------------------------
 
 
@@ -379,10 +464,55 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, hnsw.build_index(rows.join(sealed, "segment_id", "left_semi"))
 
 
-@query()
+@query(_topk_sql("list_cosine_similarity(e, q)", "DESC"))
 def hnsw_topk(spark, sf_dir):
+    """A search list as long as a segment finds every node that a graph connects, so the result is the exact one."""
+    rows, index = _index(spark, sf_dir)
+    return hnsw.ann_topk(rows, index, query_vector(spark, sf_dir), 10, ef=CAPACITY)
+
+
+@query(f"WITH {_Q}, {_V}, {_HYBRID}, c AS (SELECT * FROM h ORDER BY round(semantic, 6) DESC, vec_id LIMIT 40) SELECT vec_id, round(semantic, 6) AS semantic, keyword, round(0.5 * round(semantic, 6) + 0.5 * keyword, 6) AS score FROM c ORDER BY 4 DESC, 1 LIMIT 10")
+def hybrid_ann_topk(spark, sf_dir):
+    """Graphs and the scan of growing segments give 40 candidates, which the keywords re-rank."""
+    rows, index = _index(spark, sf_dir)
+    return hybrid.hybrid_ann_topk(rows, index, texts(spark, sf_dir), query_vector(spark, sf_dir), PHRASE, 10, ef=CAPACITY, overfetch=4)
+
+
+@query(f"WITH {_P}, {_S} SELECT p.segment_id, p.vec_id, p.vector_idx FROM p JOIN s USING (segment_id) WHERE s.state = 'sealed' AND p.status = 1")
+def graph_snapshot(spark, sf_dir):
+    """Graphs written as files and read back: the nodes of sealed segments, and no node without links to others."""
+    _, index = _index(spark, sf_dir)
+    folder = fresh(spark, "graphs")
+    graph_files.snapshot(index, folder, "cosine", hnsw.Parameters()).count()
+    back = graph_files.restore(spark, folder)
+    return back.where(F.size(F.get("neighbors", F.lit(0))) > 0).select("segment_id", "vec_id", "vector_idx")
+
+
+@query(f"WITH {_P}, {_S} SELECT active AS nodes FROM s WHERE state = 'sealed'")
+def graph_headers(spark, sf_dir):
+    _, index = _index(spark, sf_dir)
+    folder = fresh(spark, "graph-headers")
+    graph_files.snapshot(index, folder, "cosine").count()
+    return graph_files.headers(spark, folder).select("nodes")
+
+
+@query(_topk_sql("list_cosine_similarity(e, q)", "DESC"))
+def planned_topk(spark, sf_dir):
+    """The planner's choice between the registered strategies, run and explained."""
     rows, index = _index(spark, sf_dir)
-    return hnsw.ann_topk(rows, index, query_vector(spark, sf_dir), 10, ef=64)
+    chosen = planner.Planner(lifecycle.strategies(lambda: rows, lambda: index, ef=CAPACITY), lambda: stats.snapshot(rows, index, CAPACITY))
+    done = planner.explain_search(chosen, query_vector(spark, sf_dir), 10)
+    return spark.createDataFrame([tuple(r) for r in done.rows], "vec_id long, score double")  # ten rows
+
+
+@query(f"WITH {_P}, {_S} SELECT 'EXACT' AS strategy, 10::BIGINT AS results, count(*) AS candidates, count(*) FILTER (WHERE x >= 0) AS priced FROM (VALUES (1.0), (2.0)) t(x)")
+def explain_search(spark, sf_dir):
+    """The explanation of a search without graphs: both strategies are priced, the scan is chosen and runs."""
+    rows = vectors(spark, sf_dir)
+    chosen = planner.Planner(lifecycle.strategies(lambda: rows, lambda: rows.limit(0)), lambda: stats.snapshot(placed(spark, sf_dir), None, CAPACITY))
+    said = planner.explain_search(chosen, query_vector(spark, sf_dir), 10).to_dict()
+    priced = [c for c in said["plan"]["candidates"].values() if c]
+    return spark.createDataFrame([(said["plan"]["strategy"], said["results"], len(said["plan"]["candidates"]), len(priced))], "strategy string, results long, candidates long, priced long")
 
 
 @query()
@@ -401,9 +531,11 @@ def hnsw_recall(spark, sf_dir):
 # --- planning -----------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_P}, {_S} SELECT coalesce(sum(active), 0)::BIGINT AS collection_size, coalesce(sum(deleted), 0)::BIGINT AS deleted, 64::BIGINT AS dimension, count(*) FILTER (WHERE state = 'sealed') AS sealed_segments, count(*) FILTER (WHERE state = 'growing') AS growing_segments FROM s")
+@query(f"WITH {_P}, {_S} SELECT coalesce(sum(active), 0)::BIGINT AS collection_size, coalesce(sum(deleted), 0)::BIGINT AS deleted, 64::BIGINT AS dimension, count(*) FILTER (WHERE state = 'sealed') AS sealed_segments, count(*) FILTER (WHERE state = 'growing') AS growing_segments, coalesce(sum(active) FILTER (WHERE state = 'sealed'), 0)::BIGINT AS graph_nodes FROM s")
 def collection_statistics(spark, sf_dir):
-    return stats.collection_statistics(placed(spark, sf_dir), None, CAPACITY).drop("graph_nodes", "graph_layers", "average_degree")
+    """Layers and degrees depend on drawn levels and are checked in a test."""
+    rows, index = _index(spark, sf_dir)
+    return stats.collection_statistics(rows, index, CAPACITY).drop("graph_layers", "average_degree")
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,16 +570,8 @@ def plan_choice(spark, sf_dir):
     return rows.groupBy("collection_size", "selectivity", "mode").agg(F.min_by("strategy", F.struct("total_cost", "strategy")).alias("strategy"))
 
 
-@query("WITH RECURSIVE o AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS i, value FROM events WHERE event_id < 200), r(i, ratio) AS (SELECT 0::BIGINT, 0.0001::DOUBLE UNION ALL SELECT o.i, CASE WHEN o.value > 0 THEN 0.2 * (50.0 / o.value) + 0.8 * r.ratio ELSE r.ratio END FROM r JOIN o ON o.i = r.i + 1) SELECT round(ratio, 6) AS ratio, i AS observations FROM r ORDER BY i DESC LIMIT 1")
+@query("WITH v AS (SELECT value, row_number() OVER (ORDER BY event_id DESC) - 1 AS later FROM events WHERE value > 0) SELECT round(coalesce(sum(0.2::DOUBLE * (50.0 / value) * pow(0.8::DOUBLE, later)), 0) + 1e-4 * pow(0.8::DOUBLE, count(*)), 6) AS ratio, (SELECT count(*) FROM events) AS observations FROM v")
 def latency_ema(spark, sf_dir):
-    """The fold of 200 observations: the feature is a driver-sized history, not a table."""
-    seen = table(spark, sf_dir, "events").where(F.col("event_id") < 200).agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("o"))
-    step = lambda r, x: F.when(x["value"] > 0, 0.2 * (50.0 / F.nullif(x["value"], F.lit(0.0))) + 0.8 * r).otherwise(r)
-    return seen.select(F.round(F.aggregate("o", F.lit(1e-4), step), 6).alias("ratio"), F.size("o").cast("long").alias("observations"))
-
-
-@query()
-def latency_ema_all(spark, sf_dir):
     """The fold of all observations in closed form: one weighs 0.2 * 0.8^(valid observations after it), the start 0.8^(all)."""
     rows = table(spark, sf_dir, "events").select("event_id", "value")
     valid = segments.ordinals(rows.where(F.col("value") > 0), "event_id", "k")
@@ -473,3 +597,73 @@ def ingest_pipeline(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_by_hour(spark, sf_dir):
     return event_windows(table(spark, sf_dir, "events"))
+
+
+_FIRST = "f AS (SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY 1)"
+
+
+@query(f"WITH {_FIRST} SELECT 'INGEST_DOCUMENT' AS action, count(*) AS n, count(DISTINCT h) AS targets FROM f")
+def ingest_audit(spark, sf_dir):
+    done = ingest.ingest(table(spark, sf_dir, "documents"), Collection("docs", 64))
+    return done.audit.groupBy("action").agg(F.count("*").alias("n"), F.count_distinct("target_id").alias("targets"))
+
+
+@query(f"WITH {_FIRST} SELECT h AS content_hash, 'completed' AS status, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS attempt FROM f")
+def ingest_states(spark, sf_dir):
+    """Documents' states: a first batch of those with an even first id fails and is noted so; a second takes all."""
+    s, c = store.Store(spark, fresh(spark, "states")), Collection("docs", 64, segment_capacity=CAPACITY)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    try:
+        lifecycle.ingest_documents(s, first.where("doc_id % 2 = 0"), c, embedder=embedders.Remote(_no_client, 64))
+    except Exception as e:
+        if "no client" not in str(e):
+            raise
+    lifecycle.ingest_documents(s, docs, c)
+    return lifecycle.states(s).select("content_hash", "status", "attempt")
+
+
+def _no_client():
+    raise ConnectionError("no client")
+
+
+@query(f"""WITH {_FIRST}, c AS (SELECT sum(ceil(length(text) / 500.0))::BIGINT AS chunks FROM documents JOIN f USING (doc_id)) SELECT (SELECT count(*) FROM f) AS documents, chunks, chunks AS embeddings, chunks AS places FROM c""")
+def incremental_ingest(spark, sf_dir):
+    """The documents as a stream of two micro-batches into a store."""
+    root = fresh(spark, "stream")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for part in (0, 1):
+        docs.where(F.col("doc_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    s = store.Store(spark, f"{root}/store")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    streaming.start(stream, s, Collection("docs", 64, segment_capacity=CAPACITY), f"{root}/checkpoint", available_now=True).awaitTermination()
+    count = lambda t: s.read(t).agg(F.count("*")).first()[0]
+    places = s.read("embeddings").select("segment_id", "vector_idx").distinct().count()
+    return spark.createDataFrame([(count("documents"), count("chunks"), count("embeddings"), places)], "documents long, chunks long, embeddings long, places long")
+
+
+@query("SELECT r_regionkey AS n, CASE WHEN r_regionkey % 2 = 0 THEN 'completed' ELSE 'failed' END AS status, row_number() OVER (ORDER BY r_regionkey)::INTEGER AS place FROM region")
+def task_queue(spark, sf_dir):
+    """A task for each region, polled oldest first by a streaming query; those of odd numbers fail."""
+    q, ran = tasks.TaskQueue(spark, fresh(spark, "tasks")), []
+
+    def handler(payload):
+        ran.append(payload["n"])
+        if payload["n"] % 2:
+            raise ValueError("odd")
+
+    q.handle(tasks.BUILD, handler)
+    for r in table(spark, sf_dir, "region").select("r_regionkey").orderBy("r_regionkey").collect():  # five rows
+        q.submit(tasks.BUILD, {"n": int(r[0])})
+    q.start(available_now=True).awaitTermination()
+    place = spark.createDataFrame([(n, i) for i, n in enumerate(ran, 1)], "n int, place int")
+    return q.states().select(F.get_json_object("payload", "$.n").cast("int").alias("n"), "status").join(place, "n")
+
+
+@query("SELECT a.vec_id, len(list_intersect(a.s, b.s)) AS shared, len(list_distinct(list_concat(a.s, b.s))) AS every, list_contains(a.s, 3) AS has_3 FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(x * 10)::INTEGER) AS s FROM embeddings) a, (SELECT list_transform(embedding::DOUBLE[], lambda x: floor(x * 10)::INTEGER) AS s FROM embeddings WHERE vec_id = 0) b")
+def array_functions(spark, sf_dir):
+    tens = lambda v: F.transform(v.cast("array<double>"), lambda x: F.floor(x * 10).cast("int"))
+    q = tens(V.literal(query_vector(spark, sf_dir)))
+    s = tens(F.col("embedding"))
+    rows = vectors(spark, sf_dir)
+    return rows.select("vec_id", F.size(F.array_intersect(s, q)).cast("long").alias("shared"), F.size(F.array_union(s, q)).cast("long").alias("every"), F.array_contains(s, 3).alias("has_3"))

@@ -23,9 +23,14 @@ EMBEDDINGS = _table(id=_S, chunk_id=_S, segment_id=_L, vector_idx=_L, vector_dat
 METADATA = _table(id=_S, document_id=_S, chunk_id=_S, key=_S, value=_S, created_at=_TS)
 AUDIT_LOGS = _table(id=_S, user_id=_S, action=_S, target_id=_S, details=_S, ip_address=_S, created_at=_TS)
 TASKS = _table(id=_S, task_type=_S, status=_S, payload=_S, error_message=_S, created_at=_TS, updated_at=_TS)
+GRAPHS = _table(segment_id=_L, vec_id=_L, vector_idx=_L, level=_I, is_entry=_B, neighbors=T.ArrayType(T.ArrayType(_L)))
+REDIRECTS = _table(vec_id=_L, old_segment_id=_L, old_vector_idx=_L, segment_id=_L, vector_idx=_L)
+VECTORS = _table(vec_id=_L, embedding=VECTOR, status=_I, segment_id=_L, vector_idx=_L)
+STATES = _table(document_id=_S, content_hash=_S, status=_S, attempt=_I, message=_S, batch=_S)
 TABLES = {
     "users": USERS, "collections": COLLECTIONS, "documents": DOCUMENTS, "chunks": CHUNKS,
     "embeddings": EMBEDDINGS, "metadata": METADATA, "audit_logs": AUDIT_LOGS, "tasks": TASKS,
+    "graphs": GRAPHS, "redirects": REDIRECTS, "vectors": VECTORS, "document_states": STATES,
 }
 
 ACTIVE, TOMBSTONE = 1, 2

@@ -1,10 +1,20 @@
-"""The raw graph format (VHNS): a header and nodes with their links by layer."""
+"""The raw graph format (VHNS): a header and nodes with their links by layer; snapshots of an index in that format.
+
+A snapshot is a folder with one graph file for each segment and ``metadata.json``. Its nodes are named by their
+vec_id and have their segment and place; vectors aren't in it and are joined by (segment_id, vector_idx).
+"""
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from .blobs import put
 
 # Fixed values of the format.
 MAGIC, FORMAT = b"VHNS", 1
@@ -73,3 +83,60 @@ def decode(data: bytes, interleaved: bool = False) -> tuple[list[Node], uuid.UUI
     for n in nodes:
         n.links = [[x for x in layer if x in known] for layer in n.links]
     return nodes, h["entry"] if h["entry"] in known else None
+
+
+INDEX = "segment_id long, vec_id long, vector_idx long, level int, is_entry boolean, neighbors array<array<long>>"
+_INDEX = pa.schema([("segment_id", pa.int64()), ("vec_id", pa.int64()), ("vector_idx", pa.int64()), ("level", pa.int32()), ("is_entry", pa.bool_()), ("neighbors", pa.list_(pa.list_(pa.int64())))])
+
+
+def snapshot(index: DataFrame, folder: str, metric: str, parameters=None) -> DataFrame:
+    """Write the graph rows of each segment of ``index``, and the metadata; gives (segment_id, nodes, bytes)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.sort_by("vector_idx").to_pylist()
+        segment = rows[0]["segment_id"]
+        ids = {r["vector_idx"]: uuid.UUID(int=r["vec_id"]) for r in rows}
+        nodes = [Node(ids[r["vector_idx"]], uuid.UUID(int=segment), r["vector_idx"], [[ids[n] for n in layer if n in ids] for layer in r["neighbors"]]) for r in rows]
+        data = encode(nodes, next((ids[r["vector_idx"]] for r in rows if r["is_entry"]), None))
+        put(folder, f"graph-{segment}.bin", data)
+        return pa.table({"segment_id": pa.array([segment], pa.int64()), "nodes": pa.array([len(nodes)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
+
+    put(folder, "metadata.json", json.dumps({"metric": metric, **(asdict(parameters) if parameters else {})}, indent=2).encode())
+    return index.groupBy("segment_id").applyInArrow(run, "segment_id long, nodes long, bytes long")
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "graph-*.bin").load(folder).select("content")
+
+
+def restore(spark: SparkSession, folder: str) -> DataFrame:
+    """The index rows of a snapshot, by Spark's own file source. A file that is cut off or of another format is an error."""
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                nodes, entry = decode(content.as_py())
+                place = {n.id: n.vector_idx for n in nodes}
+                rows = [{"segment_id": n.segment.int, "vec_id": n.id.int, "vector_idx": n.vector_idx, "level": n.level, "is_entry": n.id == entry, "neighbors": [[place[x] for x in layer] for layer in n.links]} for n in nodes]
+                yield pa.RecordBatch.from_pylist(rows, schema=_INDEX)
+
+    return _files(spark, folder).mapInArrow(run, INDEX)
+
+
+def metadata(spark: SparkSession, folder: str) -> dict:
+    """The metric and parameters of a snapshot; FileNotFoundError where there is none."""
+    found = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "metadata.json").load(folder).select("content").collect()]  # one small file
+    if not found:
+        raise FileNotFoundError(f"no snapshot in {folder}")
+    return json.loads(found[0])
+
+
+def headers(spark: SparkSession, folder: str) -> DataFrame:
+    """(max_level, nodes) of each graph file, from its header."""
+
+    def run(batches):
+        for b in batches:
+            found = [header(x.as_py()) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([h["max_level"] for h in found], pa.int32()), pa.array([h["nodes"] for h in found], pa.int64())], names=["max_level", "nodes"])
+
+    return _files(spark, folder).mapInArrow(run, "max_level int, nodes long")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .blobs import put
+
 # Fixed values of the format.
 MAGIC, FORMAT = b"VSEG", 1
 HEADER = struct.Struct("<4sH16sIIdQ18x")  # magic, version, segment, records, deleted, created, CRC-32 of the body
@@ -87,17 +89,12 @@ def read_segments(spark: SparkSession, path: str, dimension: int) -> DataFrame:
 
 def write_segments(rows: DataFrame, folder: str, dimension: int) -> DataFrame:
     """One file per segment_id under a folder that all executors see; gives (segment_id, records, bytes)."""
-    import os
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("vector_idx")
         segment = uuid.UUID(t.column("segment_id")[0].as_py())
         data = encode(segment, [Record(uuid.UUID(r["id"]), r["vector"], r["payload"] or "{}", r["status"]) for r in t.to_pylist()], dimension)
-        os.makedirs(folder, exist_ok=True)
-        part = os.path.join(folder, f".{segment}.{uuid.uuid4().hex}")
-        with open(part, "wb") as f:
-            f.write(data)
-        os.replace(part, os.path.join(folder, f"{segment}.vseg"))  # a repeated task replaces the file whole
+        put(folder, f"{segment}.vseg", data)
         return pa.table({"segment_id": [str(segment)], "records": pa.array([t.num_rows], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
     return rows.select("segment_id", "vector_idx", "id", "vector", "payload", "status").groupBy("segment_id").applyInArrow(run, "segment_id string, records long, bytes long")

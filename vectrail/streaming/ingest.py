@@ -6,25 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import ingest
-from ..schemas import TABLES, Collection
+from ..operators.lifecycle import ingest_documents
+from ..schemas import Collection
 from ..sources.store import Store
 
 
-def _as(df: DataFrame, table: str) -> DataFrame:
-    """The columns of a table, absent ones as null."""
-    have = set(df.columns)
-    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table].fields))
-
-
 def write_batch(store: Store, docs: DataFrame, collection: Collection, **options) -> None:
     """One batch: documents that the store has are skipped, so a repeated batch adds nothing."""
-    docs = store.staged(docs, "incoming")  # the tables below are made from one written copy of the batch
-    existing = store.read("documents")
-    start = store.read("embeddings").count()
-    new = ingest(docs, collection, existing, start=start, **options)
-    frames = {"documents": new.documents, "chunks": new.chunks, "embeddings": new.embeddings, "audit_logs": new.audit}
-    store.append({t: _as(df, t) for t, df in frames.items()})
+    ingest_documents(store, docs, collection, **options)
+    for table in ("documents", "chunks", "embeddings", "audit_logs", "document_states"):
+        store.tidy(table)
 
 
 def start(stream: DataFrame, store: Store, collection: Collection, checkpoint: str, available_now: bool = False, interval: str = "500 milliseconds", **options) -> StreamingQuery:
