@@ -143,8 +143,11 @@ def plain_kneser_ney(train, end="</s>"):
     return p, v, types
 
 
-def test_kneser_ney(spark, monkeypatch):
+@pytest.mark.parametrize(("shards", "one_level", "kept"), [(4, 512, 1024), (64, 2, 3)])
+def test_kneser_ney(spark, monkeypatch, shards, one_level, kept):
     monkeypatch.setattr(kneser_ney, "FLUSH", 700)
+    monkeypatch.setattr(kneser_ney, "ONE_LEVEL", one_level)
+    monkeypatch.setattr(kneser_ney, "KEPT", kept)
     r = random.Random(2)
     words = [f"w{int(r.paretovariate(0.7))}" for _ in range(4000)]
     train, i = [], 0
@@ -157,7 +160,7 @@ def test_kneser_ney(spark, monkeypatch):
     p, v, types = plain_kneser_ney(train)
     assert sum(p("w1", b) for b in types) + p("w1", "?") == pytest.approx(1) and sum(p("?", b) for b in types) + p("?", "?") == pytest.approx(1)
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(train)], SCHEMA).repartition(3)
-    model = kneser_ney.fit(docs, shards=4)
+    model = kneser_ney.fit(docs, shards=shards)
     assert (model.tokens, model.types) == (sum(len(t) + 1 for t in train), v)
     held = spark.createDataFrame([(k, "\t".join(t), 1) for k, t in enumerate(test)] + [(999, None, 1)], SCHEMA + ", score int")
     c = Counter(b for t in train for b in [*t, "</s>"])

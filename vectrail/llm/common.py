@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
-import shutil
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -16,28 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
+
 #: White space between words: exactly these six ASCII characters.
 SPACE = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
-_own: dict[str, str] = {}
 _scratch: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where that is unset a local master gets a temporary one; a cluster is an error."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.applicationId not in _own:
-        _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="vectrail-shared-")
-        atexit.register(shutil.rmtree, _own[sc.applicationId].removeprefix("file://"), ignore_errors=True)
-    return _own[sc.applicationId]
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -76,33 +62,32 @@ def release(*cuts: DataFrame) -> None:
         delete(df.sparkSession, df._cut_path)
 
 
-def local_path(uri: str) -> str:
-    """A path that this process can open for a file of the shared folder.
-
-    ``file:`` folders are mounted everywhere and are opened in place. A file of another store is
-    fetched once per process into its own temporary folder.
-    """
+def _local(uri: str) -> str | None:
+    """The path of a ``file:`` URI, whose folder is mounted everywhere; None for another store."""
     if uri.startswith("file:"):
         return "/" + uri.split(":", 1)[1].lstrip("/")
-    if "://" not in uri:
-        return uri
+    return None if "://" in uri else uri
+
+
+def mapped_file(uri: str) -> np.ndarray | None:
+    """The bytes of a file of the shared folder, or None where there is none.
+
+    A mounted file is mapped; one of another store is read into memory, so callers hold few at a time.
+    """
+    if path := _local(uri):
+        return np.memmap(path, np.uint8, "r") if os.path.exists(path) else None
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(uri)
-    kept = os.path.join(tempfile.gettempdir(), "vectrail-" + uuid.uuid5(uuid.NAMESPACE_URL, uri).hex)
-    if not os.path.exists(kept):
-        part = f"{kept}.{os.getpid()}"
-        with store.open_input_stream(inner) as src, open(part, "wb") as out:
-            while block := src.read(1 << 24):
-                out.write(block)
-        os.replace(part, kept)
-    return kept
+    if store.get_file_info(inner).type == fs.FileType.NotFound:
+        return None
+    with store.open_input_stream(inner) as src:
+        return np.frombuffer(src.read(), np.uint8)
 
 
 def store_bytes(uri: str, data: bytes) -> None:
     """Write a file of the shared folder so that a repeated attempt replaces it whole."""
-    if uri.startswith("file:") or "://" not in uri:
-        path = local_path(uri)
+    if path := _local(uri):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         part = f"{path}.{uuid.uuid4().hex}"
         with open(part, "wb") as out:
