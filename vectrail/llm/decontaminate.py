@@ -62,32 +62,38 @@ def _hash_words(found: list[str]) -> np.ndarray:
 #: Bytes of words: ASCII letters and digits, and all beyond ASCII; runs with the latter are split further as text.
 _RUN = np.zeros(256, dtype=bool)
 _RUN[48:58] = _RUN[65:91] = _RUN[97:123] = _RUN[128:] = True
-#: Runs beyond ASCII whose hashes are kept at a time.
-_KEPT = 1 << 16
+#: Runs beyond ASCII whose words are kept at a time.
+_KEPT = 1 << 18
 
 
 def hashed_texts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first document, word hashes, bounds of each document's words) of a column: the words of ``split_words``."""
-    known: dict[bytes, np.ndarray] = {}
+    """(first document, word hashes, bounds of each document's words) of a column: the words of ``split_words``.
+
+    An ASCII run is a word and has its hash already. The others are split as text, each distinct one once.
+    """
+    known: dict[int, np.ndarray] = {}
     for w in words(texts, letters=_RUN):
         hashes, bounds = w.hash, w.bounds
-        beyond = np.flatnonzero(np.add.reduceat(w.data >> 7, w.start, dtype=np.int64)) if len(w.start) else w.start
+        beyond = np.flatnonzero(np.bitwise_or.reduceat(w.data, w.start) >> 7) if len(w.start) else w.start
         if len(beyond):
-            parts = []
-            for lo, hi in zip(w.start[beyond].tolist(), w.end[beyond].tolist(), strict=True):
-                run = w.data[lo:hi].tobytes()
-                if (h := known.get(run)) is None:
-                    if len(known) >= _KEPT:
-                        known.clear()
-                    h = known[run] = _hash_words(split_words(run.decode()))
-                parts.append(h)
+            # Runs of one hash differ in the case of ASCII letters at the most, and so have the same words.
+            runs, first, which = np.unique(hashes[beyond], return_index=True, return_inverse=True)
+            if len(known) > _KEPT:
+                known.clear()
+            new = [(k, i) for k, i in zip(runs.tolist(), beyond[first].tolist(), strict=True) if k not in known]
+            found = [split_words(w.data[w.start[i] : w.end[i]].tobytes().decode()) for _, i in new]
+            ends = np.cumsum([0, *map(len, found)])
+            fresh = _hash_words([x for f in found for x in f])
+            known.update((k, fresh[lo:hi]) for (k, _), lo, hi in zip(new, ends[:-1], ends[1:], strict=True))
+            parts = [known[k] for k in runs.tolist()]
+            size = np.array([len(p) for p in parts])
+            begin = np.cumsum(size) - size
             n = np.ones(len(hashes), np.int64)
-            n[beyond] = [len(h) for h in parts]
-            own = np.zeros(len(hashes), dtype=bool)
-            own[beyond] = True
-            spread = np.repeat(own, n)
+            n[beyond] = size[which]
+            to = np.cumsum(n) - n
             out = np.repeat(hashes, n)
-            out[spread] = np.concatenate(parts)
+            step = np.arange(int(n[beyond].sum())) - np.repeat(np.cumsum(n[beyond]) - n[beyond], n[beyond])
+            out[np.repeat(to[beyond], n[beyond]) + step] = np.concatenate(parts)[np.repeat(begin[which], n[beyond]) + step]
             hashes, bounds = out, np.append(0, np.cumsum(n))[bounds]
         yield w.first, hashes, bounds
 
