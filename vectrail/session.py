@@ -14,8 +14,16 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, where the session has Spark's own default of 64 MB.
+#: Both sides hold batches outside the heap, and workers many arrays of a batch's size.
+ARROW_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers, once for each application."""
+    """Make this package importable by Python workers, once for each application; keep Arrow batches small."""
+    if spark.conf.get(_BATCH) == f"{64 << 20}b":
+        spark.conf.set(_BATCH, str(ARROW_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
