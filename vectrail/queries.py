@@ -458,10 +458,10 @@ def rank_fusion(spark, sf_dir):
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Placed vectors, and graphs of the sealed segments."""
+    """Placed vectors, and graphs of the sealed segments: built once, written, and read by every use."""
     rows = placed(spark, sf_dir)
     sealed = segments.stats(rows, CAPACITY).where(F.col("state") == "sealed").select("segment_id")
-    return rows, hnsw.build_index(rows.join(sealed, "segment_id", "left_semi"))
+    return rows, store.Store(spark, fresh(spark, "index")).staged(hnsw.build_index(rows.join(sealed, "segment_id", "left_semi")), "graphs")
 
 
 @query(_topk_sql("list_cosine_similarity(e, q)", "DESC"))
