@@ -77,7 +77,7 @@ def ngram_counts(text: str, orders: tuple[int, ...], buckets: int) -> np.ndarray
                 if n == 1:
                     own = own[c[len(tail) :] != 32]
                 salt = np.uint64(n * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
-                out += np.bincount((own + salt) * np.uint64(0xA0761D6478BD642F) >> shift, minlength=buckets)
+                np.add.at(out, ((own + salt) * np.uint64(0xA0761D6478BD642F) >> shift).astype(np.int64), 1)
         tail = c[max(0, len(c) - longest + 1) :]
     return out if found else None
 
