@@ -629,14 +629,14 @@ def _no_client():
 
 @query(f"""WITH {_FIRST}, c AS (SELECT sum(ceil(length(text) / 500.0))::BIGINT AS chunks FROM documents JOIN f USING (doc_id)) SELECT (SELECT count(*) FROM f) AS documents, chunks, chunks AS embeddings, chunks AS places FROM c""")
 def incremental_ingest(spark, sf_dir):
-    """The documents as a stream of two micro-batches into a store."""
+    """The documents as a stream into a store, half of them before a restart from the checkpoint."""
     root = fresh(spark, "stream")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    for part in (0, 1):
-        docs.where(F.col("doc_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
     s = store.Store(spark, f"{root}/store")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    streaming.start(stream, s, Collection("docs", 64, segment_capacity=CAPACITY), f"{root}/checkpoint", available_now=True).awaitTermination()
+    for part in (0, 1):
+        docs.where(F.col("doc_id") % 2 == part).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{root}/in")
+        streaming.start(stream, s, Collection("docs", 64, segment_capacity=CAPACITY), f"{root}/checkpoint", available_now=True).awaitTermination()
     count = lambda t: s.read(t).agg(F.count("*")).first()[0]
     places = s.read("embeddings").select("segment_id", "vector_idx").distinct().count()
     return spark.createDataFrame([(count("documents"), count("chunks"), count("embeddings"), places)], "documents long, chunks long, embeddings long, places long")
