@@ -194,6 +194,23 @@ def test_cache(spark, data):
     assert 0 not in c and c.bytes == 0 and c.hit_ratio == 0.0
 
 
+def test_cache_finds_all_sizes_at_once(spark, data):
+    rows = segments.assign(vectors(spark, data[:120]), "vec_id", 4).persist()
+    rows.count()
+    sc = spark.sparkContext
+    sc.setJobGroup("cache-sizes", "")
+    c = cache.SegmentCache.of(rows, max_bytes=10 * 4 * 64 * 4)
+    for s in range(30):
+        c.segment(s)
+    c.segment(99)  # no such segment
+    jobs = len(sc.statusTracker().getJobIdsForGroup("cache-sizes"))
+    sc.setJobGroup("", "")
+    assert jobs < 10 and c.misses == 31 and c.bytes == 10 * 4 * 64 * 4 and 19 not in c and 20 in c
+    c.clear()
+    rows.unpersist()
+    assert c.bytes == 0
+
+
 def test_tables(spark):
     from vectrail import schemas
 

@@ -27,18 +27,20 @@ class SegmentCache:
     def __init__(self, load: Callable[[int], DataFrame], size: Callable[[int], int], max_bytes: int = DEFAULT_BYTES):
         self._load, self._size, self.max_bytes = load, size, max_bytes
         self._kept: OrderedDict[int, tuple[DataFrame, int]] = OrderedDict()
-        self.hits = self.misses = 0
+        self.bytes = self.hits = self.misses = 0
 
     @classmethod
     def of(cls, rows: DataFrame, vector: str = "embedding", max_bytes: int = DEFAULT_BYTES) -> SegmentCache:
-        """Over a table with segment_id; a segment's size comes from its own row of the table's sizes."""
-        sizes = memory(rows, vector)
-        size = lambda s: (sizes.where(F.col("segment_id") == s).first() or {"bytes": 0})["bytes"]
-        return cls(lambda s: rows.where(F.col("segment_id") == s), size, max_bytes)
+        """Over a table with segment_id. The first miss finds the sizes of all segments in one pass: a number for each."""
+        sizes: dict[int, int] | None = None
 
-    @property
-    def bytes(self) -> int:
-        return sum(n for _, n in self._kept.values())
+        def size(segment_id: int) -> int:
+            nonlocal sizes
+            if sizes is None:
+                sizes = {r["segment_id"]: r["bytes"] for r in memory(rows, vector).collect()}
+            return sizes.get(segment_id, 0)
+
+        return cls(lambda s: rows.where(F.col("segment_id") == s), size, max_bytes)
 
     @property
     def hit_ratio(self) -> float:
@@ -56,6 +58,7 @@ class SegmentCache:
             self.evict(next(iter(self._kept)))
         df = self._load(segment_id).persist()
         self._kept[segment_id] = (df, n)
+        self.bytes += n
         return df
 
     def row(self, segment_id: int, vector_idx: int) -> Row:
@@ -67,7 +70,9 @@ class SegmentCache:
 
     def evict(self, segment_id: int) -> None:
         if segment_id in self._kept:
-            self._kept.pop(segment_id)[0].unpersist()
+            df, n = self._kept.pop(segment_id)
+            self.bytes -= n
+            df.unpersist()
 
     def clear(self) -> None:
         for s in list(self._kept):

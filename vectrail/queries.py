@@ -349,8 +349,11 @@ def stored_index_topk(spark, sf_dir):
 
 @query(f"WITH {_P}, n AS (SELECT count(DISTINCT segment_id) AS n FROM p) SELECT n AS hits, n AS misses, round(CASE WHEN n > 0 THEN 0.5::DOUBLE ELSE 0 END, 6)::DOUBLE AS hit_ratio FROM n")
 def cache_hit_ratio(spark, sf_dir):
-    """Two rounds over all segments through the cache: the first misses, the second hits."""
-    rows = placed(spark, sf_dir)
+    """Two rounds over all segments through the cache: the first misses, the second hits.
+
+    Places are written once, segment by segment: a segment is then loaded by a filter on its files.
+    """
+    rows = store.Store(spark, fresh(spark, "cached")).staged(placed(spark, sf_dir).repartitionByRange("segment_id").sortWithinPartitions("segment_id"), "placed")
     c = cache.SegmentCache.of(rows)
     numbers = [r[0] for r in rows.select("segment_id").distinct().orderBy("segment_id").collect()]  # a segment each
     for s in [*numbers, *numbers]:
