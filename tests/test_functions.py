@@ -87,6 +87,29 @@ def test_gaussian_embedder(spark):
     assert got[1] == pytest.approx(a) and not any(got[2])
 
 
+def plain_gaussian(text, dimension):
+    v = np.sum([embedders.gaussian_word(w, dimension) for w in (text or "").split()] or [np.zeros(dimension)], axis=0)
+    n = np.linalg.norm(v)
+    return (v / n if n > 0 else v).astype(np.float32)
+
+
+def test_gaussian_vectors_equal_single_generators(monkeypatch):
+    seeds = np.array([0, 1, 7, 2**31, 2**32 - 1])
+    assert embedders.seeds_of(seeds).tolist() == [np.random.SeedSequence(int(n)).generate_state(4, np.uint64).tolist() for n in seeds]
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"W{x}{'.' * (x % 3)}" for x in r.integers(0, 500, n)) for n in (900, 1, 40, 333)] + [None, "", " ... ", "\u00c9t\u00e9 stra\u00dfe"]
+    monkeypatch.setattr(embedders, "BLOCK", 100)
+    monkeypatch.setattr(embedders, "_kept", {16: embedders.Words(16, 120)})  # words are dropped and made again
+    assert np.array_equal(embedders.gaussian_vectors(texts, 16), [plain_gaussian(t, 16) for t in texts])
+    assert len(embedders._kept[16].at) <= 120
+
+
+def test_new_words_cost_no_generator_each(monkeypatch):
+    monkeypatch.setattr(embedders, "_kept", {})
+    monkeypatch.setattr(np.random, "default_rng", lambda *a: 1 / 0)
+    assert embedders.gaussian_vectors([" ".join(f"w{i}" for i in range(2000))], 8).any()
+
+
 def test_feature_hash(spark):
     df = spark.createDataFrame([(1, "Red, apples"), (2, "apples red"), (3, ""), (4, None)], "id long, text string")
     got = {r["id"]: r["v"] for r in embedders.FeatureHash(64).embed(df, "text", ["id"], "v").collect()}
