@@ -285,6 +285,21 @@ def test_compaction_redirects_and_rolls_back(spark, data, tmp_path, monkeypatch)
     assert gone and s.read("vectors").count() == len(now) and s.vacuum() == []
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_small_graphs_are_built_from_one_table_of_distances(data, metric, monkeypatch):
+    calls = []
+    whole = hnsw.Graph.distance
+    monkeypatch.setattr(hnsw.Graph, "distance", lambda g, q, nodes: calls.append(1) or whole(g, q, nodes))
+    x = np.concatenate([data[:90], data[:10]])  # with copies
+    a = hnsw.build(x, Metric.of(metric), seed=3)
+    assert len(calls) == len(x) and a.pairs is None
+    monkeypatch.setattr(hnsw, "PAIRS", 10)
+    b = hnsw.build(x[:90], Metric.of(metric), seed=3)
+    monkeypatch.setattr(hnsw, "PAIRS", 90)
+    c = hnsw.build(x[:90], Metric.of(metric), seed=3)
+    assert (b.levels, b.links, b.entry) == (c.levels, c.links, c.entry)
+
+
 def test_hybrid_over_graphs(spark, data):
     rows = segments.assign(vectors(spark, data), "vec_id", 80)
     index = hnsw.build_index(rows.where("segment_id < 2"))

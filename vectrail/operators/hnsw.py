@@ -41,17 +41,26 @@ class Graph:
     levels: list[int] = field(default_factory=list)
     links: list[dict[int, list[int]]] = field(default_factory=list)
     entry: int = -1
+    pairs: list[list[float]] | None = None  # distances of all nodes of a small graph, while it is built
 
     def distance(self, q: np.ndarray, nodes: Sequence[int]) -> np.ndarray:
         """Smaller is nearer for each metric."""
         s = scores(self.metric, self.vectors[list(nodes)], q)
         return {Metric.COSINE: 1 - s, Metric.DOT: -s}.get(self.metric, s)
 
+    def between(self, node: int, nodes: Sequence[int]) -> list[float]:
+        """Distances of one node from others."""
+        if self.pairs is None:
+            return self.distance(self.vectors[node], nodes).tolist()
+        row = self.pairs[node]
+        return [row[n] for n in nodes]
+
     def score(self, d: float) -> float:
         return {Metric.COSINE: 1 - d, Metric.DOT: -d}.get(self.metric, d)
 
-    def nearest(self, q: np.ndarray, entries: list[tuple[float, int]], ef: int, layer: int, ok: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """Up to ``ef`` nearest nodes of a layer by best-first search; nodes that aren't ``ok`` lead on but aren't found."""
+    def nearest(self, q: np.ndarray | int, entries: list[tuple[float, int]], ef: int, layer: int, ok: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """Up to ``ef`` nearest nodes of a layer to a vector or a node by best-first search; nodes that aren't ``ok`` lead on but aren't found."""
+        far = (lambda ns: self.between(q, ns)) if isinstance(q, int) else (lambda ns: self.distance(q, ns).tolist())
         seen = {n for _, n in entries}
         open_ = list(entries)
         heapq.heapify(open_)
@@ -66,7 +75,7 @@ class Graph:
             if not new:
                 continue
             seen.update(new)
-            for dn, n in zip(self.distance(q, new).tolist(), new, strict=True):
+            for dn, n in zip(far(new), new, strict=True):
                 if len(found) < ef or dn < -found[0][0]:
                     heapq.heappush(open_, (dn, n))
                     if ok is None or ok[n]:
@@ -82,14 +91,13 @@ class Graph:
         for d, n in near:
             if len(chosen) == most:
                 break
-            if chosen and float(self.distance(self.vectors[n], chosen).min()) < d:
+            if chosen and min(self.between(n, chosen)) < d:
                 spare.append(n)
             else:
                 chosen.append(n)
         return chosen + spare[: most - len(chosen)]
 
     def add(self, node: int, level: int) -> None:
-        q = self.vectors[node]
         self.levels.append(level)
         while len(self.links) <= level:
             self.links.append({})
@@ -99,11 +107,11 @@ class Graph:
             self.entry = node
             return
         top = self.levels[self.entry]
-        at = [(float(self.distance(q, [self.entry])[0]), self.entry)]
+        at = [(self.between(node, [self.entry])[0], self.entry)]
         for layer in range(top, level, -1):
-            at = self.nearest(q, at[:1], 1, layer)
+            at = self.nearest(node, at[:1], 1, layer)
         for layer in range(min(top, level), -1, -1):
-            at = self.nearest(q, at, self.p.ef_construction, layer)
+            at = self.nearest(node, at, self.p.ef_construction, layer)
             most = self.p.m0 if layer == 0 else self.p.m
             mine = self.diverse(at, self.p.m)
             self.links[layer][node] = mine
@@ -111,8 +119,7 @@ class Graph:
                 back = self.links[layer][n]
                 back.append(node)
                 if len(back) > most:
-                    ds = self.distance(self.vectors[n], back).tolist()
-                    self.links[layer][n] = self.diverse(sorted(zip(ds, back, strict=True)), most)
+                    self.links[layer][n] = self.diverse(sorted(zip(self.between(n, back), back, strict=True)), most)
         for layer in range(top + 1, level + 1):
             self.links[layer][node] = []
         if level > top:
@@ -128,12 +135,20 @@ class Graph:
         return self.nearest(q, at, max(ef or self.p.ef_search, k), 0, ok)[:k]
 
 
+#: Nodes of a graph whose distances are all computed before it is built: 1024 squared Python numbers are 32 MB.
+PAIRS = 1024
+
+
 def build(vectors: np.ndarray, metric: Metric = Metric.COSINE, p: Parameters | None = None, seed: int = 0) -> Graph:
     p = p or Parameters()
     g = Graph(metric, p, np.asarray(vectors, dtype=np.float64))
+    if len(g.vectors) <= PAIRS:
+        every = range(len(g.vectors))
+        g.pairs = [g.distance(v, every).tolist() for v in g.vectors]
     draws = np.random.default_rng([p.seed, seed]).random(len(g.vectors))
     for i, u in enumerate(draws.tolist()):
         g.add(i, int(-np.log(max(u, 1e-12)) / np.log(p.m)))
+    g.pairs = None
     return g
 
 
