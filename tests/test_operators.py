@@ -300,6 +300,35 @@ def test_small_graphs_are_built_from_one_table_of_distances(data, metric, monkey
     assert (b.levels, b.links, b.entry) == (c.levels, c.links, c.entry)
 
 
+@pytest.mark.parametrize(("metric", "ef"), [("cosine", 40), ("l2", 100), ("dotproduct", 100)])
+def test_many_queries_find_what_single_ones_find(data, metric, ef):
+    g = hnsw.build(data[:100], Metric.of(metric), seed=2)
+    ok = np.arange(100) % 3 > 0
+    for allowed in (None, ok, np.zeros(100, dtype=bool)):
+        d, nodes = g.search_many(data[100:150], 10, ef, allowed)
+        for q, ds, ns in zip(data[100:150], d, nodes, strict=True):
+            one = g.search(q, 10, ef, allowed)
+            assert [n for _, n in one] == ns[~np.isnan(ds)].tolist()
+            assert [x for x, _ in one] == pytest.approx(ds[~np.isnan(ds)].tolist(), abs=1e-6)
+    assert hnsw.Graph(Metric.of(metric), hnsw.Parameters(), data[:0]).search_many(data[:2], 3)[0].shape == (2, 0)
+
+
+def test_results_of_many_queries_do_not_grow_with_segments(spark, data, monkeypatch):
+    rows = segments.assign(vectors(spark, data), "vec_id", 10)
+    index = hnsw.build_index(rows)
+    queries = spark.createDataFrame([(i, data[i].tolist()) for i in range(0, 200, 2)], "query_id long, query_vector array<float>")
+    few = queries.where("query_id < 40")
+    one = hnsw.search_index(index, rows, few, 3, 10)
+    many = hnsw.search_index(index, rows, queries, 3, 10)
+    assert one.groupBy("query_id").count().first()[1] == 20 * 6  # six of each of 20 segments
+    assert many.count() == 100 * 6  # and of a block of all
+    monkeypatch.setattr(hnsw, "DENSE", 0)
+    plain = hnsw.search_index(index, rows, queries, 3, 10)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, plain.collect()))
+    truth = exact.batch_knn(rows, queries, 3)
+    assert {r["recall"] for r in exact.recall(many.orderBy("query_id").join(truth.select("query_id", "vec_id"), ["query_id", "vec_id"]), truth, 3).collect()} == {1.0}
+
+
 def test_hybrid_over_graphs(spark, data):
     rows = segments.assign(vectors(spark, data), "vec_id", 80)
     index = hnsw.build_index(rows.where("segment_id < 2"))

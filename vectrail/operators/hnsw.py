@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schemas import ACTIVE, Metric
-from .exact import DIGITS, allowed, blocked_topk, matrix, query_parts, scores
+from .exact import DIGITS, allowed, block_scores, blocked_topk, matrix, query_parts, scores
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,10 @@ class Parameters:
     seed: int = 42
 
 
+def _score(m: Metric, d):
+    return {Metric.COSINE: 1 - d, Metric.DOT: -d}.get(m, d)
+
+
 @dataclass
 class Graph:
     """Nodes are places in ``vectors``; ``links[layer][node]`` are its neighbours there."""
@@ -56,7 +60,7 @@ class Graph:
         return [row[n] for n in nodes]
 
     def score(self, d: float) -> float:
-        return {Metric.COSINE: 1 - d, Metric.DOT: -d}.get(self.metric, d)
+        return _score(self.metric, d)
 
     def nearest(self, q: np.ndarray | int, entries: list[tuple[float, int]], ef: int, layer: int, ok: np.ndarray | None = None) -> list[tuple[float, int]]:
         """Up to ``ef`` nearest nodes of a layer to a vector or a node by best-first search; nodes that aren't ``ok`` lead on but aren't found."""
@@ -134,6 +138,53 @@ class Graph:
             at = self.nearest(q, at[:1], 1, layer)
         return self.nearest(q, at, max(ef or self.p.ef_search, k), 0, ok)[:k]
 
+    def search_many(self, queries: np.ndarray, k: int, ef: int | None = None, ok: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, nodes), a row of up to k for each query, nearest first; places without a node have the distance NaN.
+
+        The search of ``search`` for all queries of a small graph at once: a round follows the links of every node
+        that is among the ``ef`` nearest found so far, where ``nearest`` follows those of one. It ends likewise, when all
+        of the ``ef`` nearest have been followed.
+        """
+        count, n = len(queries), len(self.vectors)
+        k = min(k, n)
+        if self.entry < 0:
+            return np.full((count, k), np.nan), np.zeros((count, k), dtype=np.int64)
+        s = block_scores(self.metric, self.vectors, queries).T
+        raw = {Metric.COSINE: 1 - s, Metric.DOT: -s}.get(self.metric, s)
+        far = np.nan_to_num(np.ascontiguousarray(raw), nan=np.finfo(float).max)  # infinity is left for nodes that aren't found
+        who, at = np.arange(count), np.full(count, self.entry)
+        for layer in range(self.levels[self.entry], 0, -1):
+            linked = self._linked(layer)
+            while True:
+                next_ = np.where(linked[at], far, np.inf).argmin(1)
+                nearer = linked[at, next_] & (far[who, next_] < far[who, at])
+                if not nearer.any():
+                    break
+                at = np.where(nearer, next_, at)
+        linked = self._linked(0).astype(np.float32)
+        most = max(ef or self.p.ef_search, k)
+        seen, followed = np.zeros((count, n), dtype=bool), np.zeros((count, n), dtype=bool)
+        seen[who, at] = True
+        todo = who  # queries that aren't done
+        while len(todo):
+            near = np.where(seen[todo] if ok is None else seen[todo] & ok, far[todo], np.inf)
+            worst = np.partition(near, most - 1, axis=1)[:, most - 1 : most] if most <= n else np.inf  # infinite while fewer are found
+            follow = seen[todo] & ~followed[todo] & (far[todo] <= worst)
+            some = follow.any(1)
+            todo, follow = todo[some], follow[some]
+            followed[todo] |= follow
+            seen[todo] |= follow.astype(np.float32) @ linked > 0
+        found = seen if ok is None else seen & ok
+        nodes = np.argsort(np.where(found, far, np.inf), axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(np.where(found, raw, np.nan), nodes, 1), nodes
+
+    def _linked(self, layer: int) -> np.ndarray:
+        """Which nodes the links of each node of a layer lead to."""
+        out = np.zeros((len(self.vectors), len(self.vectors)), dtype=bool)
+        for i, ns in self.links[layer].items():
+            out[i, ns] = True
+        return out
+
 
 #: Nodes of a graph whose distances are all computed before it is built: 1024 squared Python numbers are 32 MB.
 PAIRS = 1024
@@ -206,11 +257,12 @@ def search_index(
     index: DataFrame, rows: DataFrame, queries: DataFrame, k: int = 10, ef: int | None = None, metric: str | Metric = Metric.COSINE, p: Parameters | None = None,
     key: str = "vec_id", vector: str = "embedding", ids: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, key, score): up to 2k per query and segment from the graphs, before the global top-k.
+    """(query_id, key, score): up to 2k per query from each block of segments, before the global top-k.
 
     Vectors are joined to the graph's nodes by (segment_id, vector_idx). Deleted rows and rows outside
     ``ids`` lead a search on but aren't found. Queries (query_id, query_vector) are a stated set, broadcast in parts of
-    bounded size.
+    bounded size. Many queries are searched in blocks of segments of about ``ROWS`` places, which keep a query's 2k
+    nearest of them all, so that what is shuffled doesn't grow with every small segment.
     """
     m, p = Metric.of(metric), p or Parameters()
     live = rows.where(F.col("status") == ACTIVE) if "status" in rows.columns else rows
@@ -219,27 +271,56 @@ def search_index(
     full = index.join(vectors, ["segment_id", "vector_idx"]).join(live, ["segment_id", "vector_idx"], "left")
 
     schema = f"query_id long, `{key}` long, score double"
-    found = None
+    found = capacity = None
     for part in query_parts(queries):
-        one = full.groupBy("segment_id").applyInArrow(_searcher(index.sparkSession.sparkContext.broadcast(part), k, ef, m, p, key), schema)
+        per = 1
+        if len(part[0]) >= MANY:
+            capacity = capacity or (rows.agg(F.max("vector_idx")).first()[0] or 0) + 1
+            per = max(1, ROWS // capacity)
+        block = full.groupBy(F.floor(F.col("segment_id") / per).alias("block"))
+        one = block.applyInArrow(_searcher(index.sparkSession.sparkContext.broadcast(part), k, ef, m, p, key), schema)
         found = one if found is None else found.unionByName(one)
     return index.sparkSession.createDataFrame([], schema) if found is None else found
 
 
+#: Queries that are searched by blocks of segments, and the places of a block; nodes of a graph that is searched for all
+#: queries at once, and numbers of such a table of distances.
+MANY, ROWS, DENSE, TABLE = 64, 6_400, 512, 1 << 20
+
+
 def _searcher(shared, k: int, ef: int | None, m: Metric, p: Parameters, key: str):
+    def of_graph(g: Graph, queries: np.ndarray, ok: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        if len(g.vectors) <= DENSE:
+            step = max(1, TABLE // max(1, len(g.vectors)))
+            parts = [g.search_many(queries[lo : lo + step], 2 * k, ef, ok) for lo in range(0, len(queries), step)]
+            return np.concatenate([d for d, _ in parts]), np.concatenate([n for _, n in parts])
+        d, nodes = np.full((len(queries), 2 * k), np.nan), np.zeros((len(queries), 2 * k), dtype=np.int64)
+        for i, q in enumerate(queries):
+            for j, (x, n) in enumerate(g.search(q, 2 * k, ef, ok)):
+                d[i, j], nodes[i, j] = x, n
+        return d, nodes
+
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("vector_idx")
-        g, keys = restore(t, m, p)
-        if g.vectors.shape[1] != shared.value[1].shape[1]:  # queries of another length have no neighbours here
-            return pa.table({"query_id": pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ok = np.array([x is True for x in t.column("ok").to_pylist()])
-        a, b, c = [], [], []
-        for i, q in zip(*shared.value, strict=True):
-            for d, n in g.search(q, 2 * k, ef, None if ok.all() else ok):
-                a.append(i)
-                b.append(keys[n])
-                c.append(round(g.score(d), DIGITS))
-        return pa.table({"query_id": pa.array(a, pa.int64()), key: pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+        t = t.sort_by([("segment_id", "ascending"), ("vector_idx", "ascending")])
+        segment = t.column("segment_id").to_numpy()
+        cuts = [0, *(np.flatnonzero(segment[1:] != segment[:-1]) + 1).tolist(), len(segment)]
+        ids, queries = shared.value
+        best, found = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), dtype=np.int64)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            g, keys = restore(t.slice(lo, hi - lo), m, p)
+            if g.vectors.shape[1] != queries.shape[1]:  # queries of another length have no neighbours here
+                continue
+            ok = np.array([x is True for x in t.column("ok").slice(lo, hi - lo).to_pylist()])
+            d, nodes = of_graph(g, queries, None if ok.all() else ok)
+            rank = np.round(_score(m, d), DIGITS)
+            best = np.concatenate([best, -rank if m.descending else rank], axis=1)  # NaN comes last
+            found = np.concatenate([found, np.array(keys, dtype=np.int64)[nodes]], axis=1)
+            if best.shape[1] > 2 * k:
+                order = np.lexsort((found, best), axis=1)[:, : 2 * k]
+                best, found = np.take_along_axis(best, order, 1), np.take_along_axis(found, order, 1)
+        who, at = np.nonzero(~np.isnan(best))
+        s = best[who, at]
+        return pa.table({"query_id": pa.array(np.array(ids, dtype=np.int64)[who]), key: pa.array(found[who, at]), "score": pa.array(-s if m.descending else s)})
 
     return run
 
