@@ -181,6 +181,28 @@ def test_ingest(spark):
         ingest.ingest(docs, c, embedder=embedders.FeatureHash(9))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ingest_moves_texts_once(spark):
+    from vectrail.functions.chunking import Recursive
+
+    # One row twice, one key with two texts, and a copy of a larger key.
+    docs = spark.createDataFrame([(2, "abcdef"), (2, "abcdef"), (2, "ghi"), (5, "ghi"), (1, "jk"), (None, "l")], "doc_id long, text string")
+    for chunker in (ingest.chunking.Fixed(2), Recursive(2, 0, [""])):
+        got = ingest.ingest(docs, Collection("c", 8, segment_capacity=4), chunker=chunker, start=3)
+        for made in (got.chunks, got.embeddings, got.documents, got.audit):
+            assert "Exchange" not in plan_of(made)  # from written copies, with nothing to shuffle
+        places = sorted((r["segment_id"], r["vector_idx"], r["source_key"], r["chunk_index"]) for r in got.embeddings.collect())
+        assert [4 * s + i for s, i, *_ in places] == list(range(3, 9)) and places[0][2:] == (1, 0)
+        assert sorted(r["text_content"] for r in got.chunks.collect()) == ["ab", "cd", "ef", "gh", "i", "jk"]
+        assert {r["id"] for r in got.chunks.collect()} == {r["chunk_id"] for r in got.embeddings.collect()} and got.documents.count() == got.audit.count() == 3
+    other = ingest.new_documents(docs.union(spark.createDataFrame([(9, "new")], docs.schema)), Collection("c", 8))
+    with pytest.raises(RuntimeError, match="changed"):
+        ingest.ingest(docs, Collection("c", 8), new=other).chunks  # noqa: B018
+
+
 def test_cache(spark, data):
     rows = segments.assign(vectors(spark, data[:30]), "vec_id", 10)
     c = cache.SegmentCache.of(rows, max_bytes=2 * 10 * 64 * 4 + 100)

@@ -68,6 +68,24 @@ def test_states_of_documents(spark, tmp_path):
     assert {r["attempt"] for r in lifecycle.states(store).collect()} == {2} and store.read("documents").count() == 2
 
 
+def test_failed_model_writes_no_chunks_and_collections_have_their_own_states(spark, tmp_path):
+    from vectrail.functions import embedders
+
+    store = Store(spark, str(tmp_path / "store"))
+    docs = spark.createDataFrame([(1, "one text"), (2, "other text")], "doc_id long, text string")
+
+    def down():
+        raise ConnectionError("the model is down")
+
+    with pytest.raises(Exception, match="down"):
+        lifecycle.ingest_documents(store, docs, Collection("a", 8), embedder=embedders.Remote(down, 8))
+    assert store.files.names("chunks") == []
+    for name in "ab":
+        lifecycle.ingest_documents(store, docs, Collection(name, 8))
+    assert sorted((r["status"], r["attempt"]) for r in lifecycle.states(store).collect()) == [("completed", 1)] * 2 + [("completed", 2)] * 2
+    assert store.rows("documents") == store.rows("embeddings") == 4
+
+
 def test_stream_equals_batch_and_is_idempotent(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text number {i % 6}") for i in range(10)], "doc_id long, text string")
     docs.repartition(3).write.parquet(str(tmp_path / "in"))

@@ -40,10 +40,25 @@ def sliding_slices(text: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+def counts(chunker: Chunker, docs: DataFrame, text: str, out: str) -> DataFrame:
+    """``docs`` with the number of their chunks in place of the text; rows that are alike count once or more often.
+
+    A chunker that has ``count`` tells it without chunking.
+    """
+    rest = [c for c in docs.columns if c != text]
+    if hasattr(chunker, "count"):
+        return docs.select(*rest, chunker.count(F.col(text)).cast("long").alias(out))
+    made = chunker.chunk(docs, text).select(*rest, (F.col("chunk_index") + 1).cast("long").alias(out))
+    return docs.select(*rest, F.lit(0).cast("long").alias(out)).unionByName(made).groupBy(*rest).agg(F.max(out).alias(out))
+
+
 class Fixed:
     def __init__(self, size: int = 500):
         self.size = size
 
+    def count(self, text: Column) -> Column:
+        return F.ceil(F.char_length(text) / self.size)
+
     def chunk(self, docs: DataFrame, text: str = "text") -> DataFrame:
         return _explode(docs, text, fixed_slices(F.col(text), self.size))
 

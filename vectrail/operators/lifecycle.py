@@ -19,7 +19,7 @@ from ..plans.planner import StrategyRegistry
 from ..schemas import ACTIVE, TABLES, Collection
 from ..sources.store import Store
 from . import exact, hnsw, segments
-from .ingest import Ingested, ingest
+from .ingest import ingest, new_documents
 
 PENDING, COMPLETED, FAILED = "pending", "completed", "failed"
 
@@ -45,19 +45,18 @@ def ingest_documents(store: Store, docs: DataFrame, collection: Collection, key:
     with their rows, in one commit, or as failed with the error, which is raised. A failed or interrupted document is
     taken again, as its next attempt, when a batch has it again; completed ones are skipped."""
     batch = uuid.uuid4().hex
-    docs = store.staged(docs, "incoming")  # everything below is made from one written copy of the batch
-    known = states(store)
-    found = docs.where(F.col(text).rlike(r"\S")).select(content_hash(F.col(text)).alias("content_hash")).distinct()
-    ident = derived_id(F.lit(collection.name), F.col("content_hash"))
-    tried = known.select("content_hash", F.col("status").alias("was"), F.col("attempt").alias("n"))
-    todo = found.join(tried, "content_hash", "left").where(F.coalesce(F.col("was"), F.lit("")) != COMPLETED)
-    todo = todo.select(ident.alias("document_id"), "content_hash", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("attempt"))
+    # The batch is read for its new contents here and for their texts below; the second must find what the first found.
+    new = store.staged(new_documents(docs, collection, store.read("documents"), options.get("chunker"), key, text), "new")
+    found = new.select(derived_id(F.lit(collection.name), F.col("content_hash")).alias("document_id"), "content_hash")
+    tried = states(store).select("document_id", F.col("attempt").alias("n"))
+    todo = found.join(tried, "document_id", "left").select("document_id", "content_hash", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("attempt"))
     noted = lambda status, message=None: as_table(todo.withColumns({"status": F.lit(status), "message": F.lit(message).cast("string"), "batch": F.lit(batch)}), "document_states")
     todo = store.staged(todo, "todo")
     store.append({"document_states": noted(PENDING)})
     try:
-        new: Ingested = ingest(docs, collection, store.read("documents"), key=key, text=text, start=store.rows("embeddings"), **options)
-        frames = {"documents": new.documents, "chunks": new.chunks, "embeddings": new.embeddings, "audit_logs": new.audit}
+        made = ingest(docs, collection, key=key, text=text, start=store.rows("embeddings"), keep=store.staged, new=new, **options)
+        # Embeddings first: what fails is most often a model.
+        frames = {"embeddings": made.embeddings, "chunks": made.chunks, "documents": made.documents, "audit_logs": made.audit}
         store.append({t: as_table(df, t) for t, df in frames.items()} | {"document_states": noted(COMPLETED)})
     except Exception as e:
         store.append({"document_states": noted(FAILED, f"{type(e).__name__}: {str(e)[:500]}")})

@@ -593,8 +593,7 @@ n AS (SELECT *, row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS o FROM c
 SELECT doc_id, chunk_index, o // {CAPACITY} AS segment_id, o % {CAPACITY} AS vector_idx FROM n""")
 def ingest_pipeline(spark, sf_dir):
     done = ingest.ingest(table(spark, sf_dir, "documents"), Collection("docs", 64, Metric.COSINE, segment_capacity=CAPACITY))
-    keys = done.chunks.select(F.col("id").alias("chunk_id"), F.col("source_key").alias("doc_id"), "chunk_index")
-    return done.embeddings.join(keys, "chunk_id").select("doc_id", "chunk_index", "segment_id", "vector_idx")
+    return done.embeddings.select(F.col("source_key").alias("doc_id"), "chunk_index", "segment_id", "vector_idx")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -616,9 +615,10 @@ def ingest_states(spark, sf_dir):
     """Documents' states: a first batch of those with an even first id fails and is noted so; a second takes all."""
     s, c = store.Store(spark, fresh(spark, "states")), Collection("docs", 64, segment_capacity=CAPACITY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    first = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    first = ingest.new_documents(docs, c).where("key % 2 = 0").select("content_hash", F.col("key").alias("doc_id"))
+    even = s.staged(docs.withColumn("content_hash", X.content_hash(F.col("text"))).join(first, ["content_hash", "doc_id"], "left_semi"), "even")
     try:
-        lifecycle.ingest_documents(s, first.where("doc_id % 2 = 0"), c, embedder=embedders.Remote(_no_client, 64))
+        lifecycle.ingest_documents(s, even, c, embedder=embedders.Remote(_no_client, 64))
     except Exception as e:
         if "no client" not in str(e):
             raise
